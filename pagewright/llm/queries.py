@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe
+from pagewright.llm import bpe, line_quality, quality_nn
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,3 +30,20 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures every text, drops its bad lines and judges what is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_quality.clean(docs, with_text=False)
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every text by a model that saw no row of the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(quality_nn.remainder(4) != 2)
+    model = quality_nn.fit(docs, labels)
+    held = F.coalesce(quality_nn.remainder(4) == 2, F.lit(False))
+    return quality_nn.score(docs.withColumn("held_out", held), model)
