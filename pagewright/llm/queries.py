@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, line_quality, quality_nn
+from pagewright.llm import bpe, line_quality, quality_nn, simhash
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,3 +47,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_nn.fit(docs, labels)
     held = F.coalesce(quality_nn.remainder(4) == 2, F.lit(False))
     return quality_nn.score(docs.withColumn("held_out", held), model)
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and near-duplicate class of every text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs)
+    return found.select("doc_id", simhash.hexed().alias("fingerprint"), "component_id")
