@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, line_dedup, line_quality, mixing, quality_nn, simhash
+from pagewright.llm import bpe, interpolation, line_dedup, line_quality, mixing, quality_nn, simhash, url_templates
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -94,3 +94,24 @@ from parts p left join kept k on p.doc_id = k.doc_id group by p.doc_id, p.lines
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slot and position of every document in the mixture."""
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+@query
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every text by the model of the training folds; a tenth of those is deleted to learn the weights."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = quality_nn.remainder(7)
+    part = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0, interpolation.DELETED).otherwise(interpolation.TRAIN)
+    docs = docs.withColumn("fold", F.when(fold == 2, interpolation.OTHER).otherwise(part))
+    held = F.coalesce(quality_nn.remainder(7) == 2, F.lit(False))
+    return interpolation.score(docs).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+#: The rules that the pages query fixes.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges every page's url by the rules, else by its path template."""
+    return url_templates.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
