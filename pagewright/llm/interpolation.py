@@ -27,7 +27,7 @@ from pagewright.llm import bytewise as bw
 from pagewright.llm.store import stored
 
 TRAIN, DELETED, OTHER = 0, 1, 2
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 800_000
 END, BEGIN, PAIR = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x8F1BBCDCBFA53E0B), np.uint64(0xD1B54A32D192ED03)
 BUCKETS = 40
 #: Steps of a factor of two in the histogram of held-out probabilities, and its least exponent.
@@ -144,33 +144,63 @@ def _bucket(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log2(counts.astype(np.float64) + 1)), BUCKETS - 1).astype(np.int64)
 
 
-def _restored(table: pa.Table):
-    """From a block's rows: ids, folds, words a text, tokens' and pairs' totals by fold, and the contexts'."""
+def _joined(table: pa.Table) -> pa.Table:
+    """One row from a block's rows: its shape and tokens, with the totals of its words and of each token's pair."""
     rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["part"]))
     own = rows[0]
-    shape, at = [], 0
-    while at < len(own["a"]):
-        size = int.from_bytes(own["a"][at : at + 4], "little")
-        shape.append(bw.unpack(own["a"][at + 4 : at + 4 + size]))
+    n_words = _shape(own["a"])[0]
+    back = bw.unpack(own["c"])
+    is_word = np.ones(len(back), bool)
+    is_word[np.cumsum(n_words + 1) - 1] = False
+    tokens, context = _tokens(bw.unpack(own["b"], delta=True)[back[is_word]], n_words)
+    _, pair_back = np.unique(_pairs(tokens, context), return_inverse=True)
+    words, pairs = ([np.concatenate([bw.unpack(r[f]) for r in rows if r["kind"] == kind]) for f in ("a", "b")] for kind in (0, 1))
+    made = [own["ids"], own["a"], own["c"], *[bw.pack(x) for x in words], *[bw.pack(_narrow(x[pair_back])) for x in pairs]]
+    return pa.table({k: pa.array([v], pa.binary()) for k, v in zip(_JOINED, made, strict=True)})
+
+
+_JOINED = ["ids", "shape", "back", "w0", "w1", "p0", "p1"]
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x
+
+
+def _shape(packed: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(packed):
+        size = int.from_bytes(packed[at : at + 4], "little")
+        out.append(bw.unpack(packed[at + 4 : at + 4 + size]))
         at += 4 + size
-    n_words, folds, lost = shape
-    ids = [None if x else int(i) for i, x in zip(bw.unpack(own["ids"]), lost, strict=True)]
-    words, back = bw.unpack(own["b"], delta=True), bw.unpack(own["c"])
-    tokens = words[back]
+    return out
+
+
+def _restored(row: dict):
+    """Ids, folds, words a text, places of ends, and by fold the totals of each token, of its pair and of its context."""
+    n_words, folds, lost = _shape(row["shape"])
+    ids = [None if x else int(i) for i, x in zip(bw.unpack(row["ids"]), lost, strict=True)]
+    back = bw.unpack(row["back"])
+    words = [bw.unpack(row[k])[back].astype(np.int64) for k in ("w0", "w1")]
+    pairs = [bw.unpack(row[k]).astype(np.int64) for k in ("p0", "p1")]
     ends = np.cumsum(n_words + 1) - 1
-    is_word = np.ones(len(tokens), bool)
-    is_word[ends] = False
-    tokens, context = _tokens(tokens[is_word], n_words)
-    _, pair_back = np.unique(_pairs(tokens, context), return_inverse=True)
-    sums = [[np.concatenate([bw.unpack(r[f]) for r in rows if r["kind"] == kind])[at] for f in ("a", "b")] for kind, at in ((0, back), (1, pair_back))]
     # The context's count is the previous token's; a text's first context has been seen once a training text, as the end has.
-    begun = ends - n_words
     contexts = []
-    for counts in sums[0]:
+    for counts in words:
         c = np.roll(counts, 1)
-        c[begun] = counts[ends]
+        c[ends - n_words] = counts[ends]
         contexts.append(c)
-    return ids, folds, n_words, ends, sums[0], sums[1], contexts
+    return ids, folds, n_words, ends, words, pairs, contexts
+
+
+def _each(work):
+    """A map over joined blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from work(batch.slice(i, 1).to_pylist()[0]).to_batches()
+
+    return run
 
 
 def _shares(pair: np.ndarray, context: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,8 +214,8 @@ def _quantised(p: np.ndarray) -> np.ndarray:
 
 
 def _events(train_tokens: int):
-    def run(table: pa.Table) -> pa.Table:
-        _, folds, n_words, _, word, pair, context = _restored(table)
+    def run(row: dict) -> pa.Table:
+        _, folds, n_words, _, word, pair, context = _restored(row)
         held = np.repeat(folds, n_words + 1) == DELETED
         p2, p1 = _shares(pair[0][held], context[0][held], word[0][held], train_tokens)
         keys = np.stack([_bucket(context[0][held]), _quantised(p2), _quantised(p1)], 1)
@@ -214,8 +244,8 @@ def maximise(events: list[tuple[int, int, int, int]], uniform: float, rounds: in
 
 
 def _scores(model: Model):
-    def run(table: pa.Table) -> pa.Table:
-        ids, _, n_words, ends, words, pairs, contexts = _restored(table)
+    def run(row: dict) -> pa.Table:
+        ids, _, n_words, ends, words, pairs, contexts = _restored(row)
         word, pair, context = words[0] + words[1], pairs[0] + pairs[1], contexts[0] + contexts[1]
         n, v = model.train_tokens, model.vocabulary
         offsets = np.concatenate([[0], ends + 1])
@@ -240,14 +270,15 @@ def score(df: DataFrame, fold: str = "fold", column: str = "text") -> DataFrame:
     spark = df.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col("doc_id").cast("bigint"), F.col(f"`{column}`"), F.col(fold).cast("int").alias("fold"))
-    sent = stored(docs.mapInArrow(_blocks(parts), _ROWS), "blocks")
-    own = sent.where("kind = -1")
-    totals = stored(sent.where("kind >= 0").drop("c").withColumn("c", F.lit(None).cast("binary")).repartition("part").mapInArrow(_totals, _ROWS), "totals")
+    # Evaluated for its parts and again for its blocks: tokenising twice is cheaper than keeping the parts on disk twice.
+    sent = docs.mapInArrow(_blocks(parts), _ROWS)
+    totals = stored(sent.where("kind >= 0").repartition("part").mapInArrow(_totals, _ROWS), "totals")
     figures = [np.frombuffer(r["ids"], np.int64) for r in totals.where("kind = 9").select("ids").collect()]
     trained, deleted, v_train, v = map(int, np.sum(figures, axis=0)) if figures else (0, 0, 0, 0)
-    whole = own.unionByName(totals.where("kind in (0, 1)"))
-    events = whole.groupBy("block").applyInArrow(_events(trained), "k int, p2 int, p1 int, n bigint")
+    whole = sent.where("kind = -1").unionByName(totals.where("kind in (0, 1)"))
+    joined = stored(whole.groupBy("block").applyInArrow(_joined, ", ".join(f"{k} binary" for k in _JOINED)), "joined")
+    events = joined.mapInArrow(_each(_events(trained)), "k int, p2 int, p1 int, n bigint")
     events = events.groupBy("k", "p2", "p1").agg(F.sum("n").alias("n")).collect()  # at most one row a bin
     weights = maximise([tuple(r) for r in events], 1 / (v_train + 1))
     model = Model(trained + deleted, v, weights)
-    return whole.groupBy("block").applyInArrow(_scores(model), "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return joined.mapInArrow(_each(_scores(model)), "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
