@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, interpolation, line_dedup, line_quality, mixing, quality_nn, simhash, url_templates
+from pagewright.llm import bpe, interpolation, line_dedup, line_quality, mixing, quality_nn, simhash, suffix_dedup, url_templates
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -115,3 +115,10 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judges every page's url by the rules, else by its path template."""
     return url_templates.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes every byte of a 100-byte string that also starts earlier."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.dedup(docs, with_text=False)
