@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, interpolation, line_dedup, line_quality, mixing, quality_nn, simhash, suffix_dedup, url_templates
+from pagewright.llm import bm25, bpe, interpolation, line_dedup, line_quality, mixing, quality_nn, simhash, suffix_dedup, url_templates
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -122,3 +122,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removes every byte of a 100-byte string that also starts earlier."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.dedup(docs, with_text=False)
+
+
+@query
+def op3_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every twentieth document's whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25.search(docs, docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"))

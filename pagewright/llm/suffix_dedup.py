@@ -256,8 +256,17 @@ def deep_shallow(buffer: bytes, starts: np.ndarray, length: int, shallow: int =
         size = np.bincount(np.cumsum(new) - 1)
         live = live[(size > 1)[np.cumsum(new) - 1]]
         depth += 8
-    order = np.argsort(group[live], kind="stable")
-    live = live[order]
+    live = live[np.argsort(group[live], kind="stable")]
+    # A trie of two leaves is one comparison: those of all pairs at once.
+    ids, first, size = np.unique(group[live], return_index=True, return_counts=True)
+    left, right = live[first[size == 2]], live[first[size == 2] + 1]
+    same = np.ones(len(left), bool)
+    for at in range(depth, length):
+        same[same] = data[starts[left[same]] + at] == data[starts[right[same]] + at]
+    group[right[~same]] = top + np.arange(int((~same).sum()))
+    top += int((~same).sum())
+    live = np.setdiff1d(live, np.concatenate([left, right]))
+    live = live[np.argsort(group[live], kind="stable")]
     bounds = np.flatnonzero(np.concatenate([[True], group[live][1:] != group[live][:-1], [True]])) if len(live) else np.zeros(1, int)
     places = starts.tolist()
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -271,14 +280,11 @@ def deep_shallow(buffer: bytes, starts: np.ndarray, length: int, shallow: int =
 def _compared(length: int):
     """Covered spans of the contexts of a part, by ordering all their suffixes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bodies, heads = [], []
-        for batch in batches:
-            for body, head in zip(batch.column("text"), batch.column("spans"), strict=True):
-                bodies.append(bw._D.decompress(body.as_py()))
-                heads.append(np.frombuffer(head.as_py(), np.int64).reshape(-1, 3))
-        if not heads:
-            return
+    names = ["doc_id", "a", "b"]
+
+    def run(table: pa.Table) -> pa.Table:
+        bodies = [bw._D.decompress(x.as_py()) for x in table["text"]]
+        heads = [np.frombuffer(x.as_py(), np.int64).reshape(-1, 3) for x in table["spans"]]
         head, buffer = np.concatenate(heads), b"".join(bodies)
         bodies.clear()
         base = np.concatenate([[0], np.cumsum(head[:, 2])[:-1]])
@@ -298,7 +304,8 @@ def _compared(length: int):
         if len(own):
             new = np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] > at[:-1] + length)])
             last = np.append(np.flatnonzero(new)[1:] - 1, len(own) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(own[new]), pa.array(at[new]), pa.array(at[last] + length)], names=["doc_id", "a", "b"])
+            return pa.table([pa.array(own[new]), pa.array(at[new]), pa.array(at[last] + length)], names=names)
+        return pa.table([pa.array([], pa.int64())] * 3, names=names)
 
     return run
 
@@ -338,7 +345,7 @@ def dedup(df: DataFrame, column: str = "text", length: int = LENGTH, gram: int =
     places = places.withColumnRenamed("doc_id", "own")
     joined = docs.join(places, F.coalesce(docs.doc_id, F.lit(NO_ID)) == places.own, "left").drop("own")
     spread = stored(joined.mapInArrow(_spread(parts, length, gram, with_text), _SPREAD), "spread")
-    covered = spread.where("kind = 9").select("part", "text", "spans").repartition("part").mapInArrow(_compared(length), "doc_id bigint, a bigint, b bigint")
+    covered = spread.where("kind = 9").select("part", "text", "spans").groupBy("part").applyInArrow(_compared(length), "doc_id bigint, a bigint, b bigint")
     local = spread.where(F.col("kind") == SINGLE).select("doc_id", F.col("n_bytes").alias("a"), F.col("n_removed").alias("b"))
     more = covered.unionByName(local).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("more")).withColumnRenamed("doc_id", "own")
     waiting = spread.where(F.col("kind") == EDGE).select("doc_id", "text", "spans")
