@@ -2,5 +2,290 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pagewright.functions import render, textops
+from pagewright.operators import layout
+from pagewright.sources import files, ooxml
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _supplier_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers of each nation as a sheet: a header row, then key, name and a note that needs quoting."""
+    by = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    rows = _table(spark, sf_dir, "supplier").withColumn("row", F.row_number().over(by))
+    note = F.concat(F.lit('a "b", '), F.col("s_suppkey").cast("string"))
+    cells = F.array(*[F.struct(F.lit(c).alias("col"), x.alias("text")) for c, x in enumerate((F.col("s_suppkey").cast("string"), F.col("s_name"), note))])
+    body = rows.select("s_nationkey", "row", F.inline(cells))
+    head = F.array(*[F.struct(F.lit(c).alias("col"), F.lit(x).alias("text")) for c, x in enumerate(("key", "name", "note"))])
+    return render.dense(body.unionByName(rows.where("row = 1").select("s_nationkey", F.lit(0).alias("row"), F.inline(head))), ["s_nationkey"])
+
+
+@query("""select s_nationkey, count(*) + 1 as rows, 3 as cols, '| key | name | note |' || chr(10) || '| --- | --- | --- |' || chr(10)
+  || string_agg('| ' || s_suppkey || ' | ' || s_name || ' | a "b", ' || s_suppkey || ' |', chr(10) order by s_suppkey) as markdown
+from supplier group by s_nationkey""")
+def sheet_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse cells to dense grids to Markdown."""
+    return _supplier_grids(spark, sf_dir).select("s_nationkey", "rows", "cols", render.markdown(F.col("grid")).alias("markdown"))
+
+
+@query("""select s_nationkey, 'key' || chr(9) || 'name' || chr(9) || 'note' || chr(10)
+  || string_agg(s_suppkey || chr(9) || s_name || chr(9) || 'a "b", ' || s_suppkey, chr(10) order by s_suppkey) as tsv from supplier group by s_nationkey""")
+def sheet_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R13."""
+    return _supplier_grids(spark, sf_dir).select("s_nationkey", render.tsv(F.col("grid")).alias("tsv"))
+
+
+@query("""select s_nationkey, 'key,name,note' || chr(10)
+  || string_agg(s_suppkey || ',' || s_name || ',"a ""b"", ' || s_suppkey || '"', chr(10) order by s_suppkey) as csv from supplier group by s_nationkey""")
+def table_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R7."""
+    return _supplier_grids(spark, sf_dir).select("s_nationkey", render.csv(F.col("grid")).alias("csv"))
+
+
+@query("""with n as (select p_partkey, p_partkey % 18278 + 1 as number from part)
+select p_partkey, number, case when number <= 26 then chr((64 + number)::int)
+  when number <= 702 then chr((65 + (number - 27) // 26)::int) || chr((65 + (number - 27) % 26)::int)
+  else chr((65 + (number - 703) // 676)::int) || chr((65 + (number - 703) // 26 % 26)::int) || chr((65 + (number - 703) % 26)::int) end as letters,
+  number as back from n""")
+def a1_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column numbers to letters and back."""
+    parts = _table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 18278 + 1).alias("number"))
+    parts = parts.withColumn("letters", textops.column_to_letters(F.col("number")))
+    return parts.withColumn("back", textops.letters_to_column(F.col("letters")))
+
+
+_MD = """(select doc_id, '# ' || source || chr(10) || text || chr(10) || '## ' || lang || chr(10) || '```' || lang || chr(10) || source || chr(10) || '```' || chr(10)
+  || '[' || source || '](u/' || doc_id || ') ![' || lang || '](i/' || doc_id || ')' as md from documents)"""
+
+
+def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with headings, a fence, a link and an image composed around its text."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    id_ = F.col("doc_id").cast("string")
+    parts = [F.lit("# "), "source", F.lit("\n"), "text", F.lit("\n## "), "lang", F.lit("\n```"), "lang", F.lit("\n"), "source", F.lit("\n```\n["), "source", F.lit("](u/"), id_, F.lit(") !["), "lang", F.lit("](i/"), id_, F.lit(")")]
+    return docs.select("doc_id", F.concat(*parts).alias("md"))
+
+
+@query(f"""select doc_id, length(regexp_extract(h, '^(#+)', 1)) as level, regexp_extract(h, '^#+\\s+(.+)$', 1) as title
+from (select doc_id, unnest(regexp_extract_all(md, '(?m)^#{{1,6}}\\s+.+$')) as h from {_MD})""")
+def md_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4."""
+    return _markdown(spark, sf_dir).select("doc_id", F.inline(textops.headings(F.col("md")))).withColumnRenamed("text", "title")
+
+
+@query(f"""select doc_id, unnest(regexp_extract_all(md, '(?s)```(\\w*)\\n(.*?)```', 1)) as lang, unnest(regexp_extract_all(md, '(?s)```(\\w*)\\n(.*?)```', 2)) as code from {_MD}""")
+def md_code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5."""
+    return _markdown(spark, sf_dir).select("doc_id", F.inline(textops.code_blocks(F.col("md"))))
+
+
+@query(f"""select doc_id, unnest(regexp_extract_all(m, '\\[([^\\]]+)\\]\\(([^)]+)\\)', 1)) as text, unnest(regexp_extract_all(m, '\\[([^\\]]+)\\]\\(([^)]+)\\)', 2)) as url
+from (select doc_id, regexp_replace(md, '!\\[[^\\]]*\\]\\([^)]+\\)', '', 'g') as m from {_MD})""")
+def md_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T6."""
+    return _markdown(spark, sf_dir).select("doc_id", F.inline(textops.links(F.col("md"))).alias("text", "url"))
+
+
+@query(f"""select doc_id, unnest(regexp_extract_all(md, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', 1)) as alt, unnest(regexp_extract_all(md, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', 2)) as url from {_MD}""")
+def md_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T7."""
+    return _markdown(spark, sf_dir).select("doc_id", F.inline(textops.images(F.col("md"))).alias("alt", "url"))
+
+
+_PLAIN = "md"
+for _p, _r in (
+    ("(?s)```.*?```", ""), (r"`[^`]+`", ""), (r"!\[[^\]]*\]\([^)]+\)", ""), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"(?m)^#{1,6}\s+", ""),
+    (r"\*\*([^*]+)\*\*", r"\1"), (r"\*([^*]+)\*", r"\1"), ("__([^_]+)__", r"\1"), ("_([^_]+)_", r"\1"), (r"(?m)^[-*_]{3,}$", ""), (r"\n{3,}", r"\n\n"), (r"^\s+|\s+$", ""),
+):
+    _by = "chr(10) || chr(10)" if _r == r"\n\n" else f"'{_r}'"
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_p}', {_by}, 'g')"
+
+
+@query(f"select doc_id, {_PLAIN} as plain from {_MD}")
+def md_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T8."""
+    return _markdown(spark, sf_dir).select("doc_id", textops.plain_text(F.col("md")).alias("plain"))
+
+
+@query(r"""select doc_id, regexp_replace(regexp_replace(text, '([,.!?;:])', '  \1', 'g'), '\s+([,.!?;:)\]}])', '\1', 'g') as clean
+from documents""")
+def punctuation_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blanks put before punctuation go again."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", textops.punctuation_spacing(F.regexp_replace("text", "([,.!?;:])", "  $1")).alias("clean"))
+
+
+@query("""select doc_id, replace(text, ' ', chr(9)) as layout, replace(text, ' ', chr(10)) as word
+from documents""")
+def control_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control characters put between words go, or become line feeds."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select(
+        "doc_id", textops.layout_clean(F.translate("text", " ", "\t")).alias("layout"),
+        textops.doc_clean(F.concat(F.lit("\x00\x01"), F.translate("text", " ", "\x0b"))).alias("word"),
+    )
+
+
+@query("""select doc_id, i as line_no, line from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents)""")
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document."""
+    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+
+
+@query("""select p_partkey, case p_partkey % 4 when 0 then 'pdf' when 1 then 'ole2' when 2 then 'txt' else 'txt' end as format from part""")
+def format_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2 over composed heads."""
+    kind = F.col("p_partkey") % 4
+    head = F.when(kind == 0, F.unhex(F.lit("255044462D312E34"))).when(kind == 1, F.unhex(F.lit("D0CF11E0A1B11AE1"))).when(kind == 2, F.unhex(F.lit("504B0304"))).otherwise(F.encode("p_name", "UTF-8"))
+    return _table(spark, sf_dir, "part").select("p_partkey", files.sniff(head).alias("format"))
+
+
+def _files(source: DataFrame, key: str, make) -> DataFrame:
+    """One generated file a group: doc_id and content."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": [int(pdf[key].iloc[0])], "content": [make(pdf)]})
+
+    return source.groupBy(key).applyInPandas(run, "doc_id bigint, content binary")
+
+
+@query("""select n_regionkey as doc_id, r as "row", c as col, x as text from (
+  select n_regionkey, row_number() over (partition by n_regionkey order by n_nationkey) as r, unnest([1, 2]) as c, unnest([n_nationkey::varchar, n_name]) as x from nation)""")
+def xlsx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks written from nation, decoded, shared strings joined."""
+    make = lambda p: ooxml.write_xlsx({"nations": [[str(r.n_nationkey), r.n_name] for r in p.sort_values("n_nationkey").itertuples()]})
+    made = _files(_table(spark, sf_dir, "nation"), "n_regionkey", make)
+    return ooxml.sheet_cells(ooxml.elements(made, "xlsx")).select("doc_id", "row", "col", "text")
+
+
+@query("""select conv_id as doc_id, row_number() over (partition by conv_id order by turn) - 1 as seq, text, case when role = 'user' then 2 else 0 end as heading_level from conversations""")
+def docx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents, one paragraph a turn, the user's as headings."""
+    make = lambda p: ooxml.write_docx([("Heading2" if r.role == "user" else "Body", r.text) for r in p.sort_values("turn").itertuples()])
+    made = _files(_table(spark, sf_dir, "conversations").where("conv_id is not null"), "conv_id", make)
+    return ooxml.paragraphs(ooxml.elements(made, "docx"))
+
+
+@query("""select conv_id as doc_id, row_number() over (partition by conv_id order by turn) as slide, role as title, text from conversations""")
+def pptx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slide a turn, titled by its role."""
+    make = lambda p: ooxml.write_pptx([(r.role, r.text) for r in p.sort_values("turn").itertuples()])
+    rows = ooxml.elements(_files(_table(spark, sf_dir, "conversations"), "conv_id", make), "pptx").where("kind = 'shape'")
+    title = F.max(F.when(F.col("style") == "title", F.col("text"))).alias("title")
+    return rows.groupBy("doc_id", (F.col("part") + 1).alias("slide")).agg(title, F.max(F.when(F.col("style") == "", F.col("text"))).alias("text"))
+
+
+@query("""select conv_id as doc_id, row_number() over (partition by conv_id order by turn) - 1 as seq, text from conversations""")
+def hwpx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections in numeric order."""
+    make = lambda p: ooxml.write_hwpx(p.sort_values("turn").text.tolist())
+    rows = ooxml.elements(_files(_table(spark, sf_dir, "conversations"), "conv_id", make), "hwpx")
+    return rows.where("kind = 'paragraph'").select("doc_id", F.col("row").alias("seq"), "text")
+
+
+@query("""select conv_id, turn, text from (select *, row_number() over (partition by conv_id, trim(role) order by turn) as k from conversations) where k = 1""")
+def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of each conversation's turns by role stays."""
+    by = Window.partitionBy("conv_id", F.trim("role")).orderBy("turn")
+    return _table(spark, sf_dir, "conversations").withColumn("k", F.row_number().over(by)).where("k = 1").select("conv_id", "turn", "text")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as text items on a page for each order: integer coordinates."""
+    li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    return li.select(
+        (F.col("l_orderkey") % 50).alias("doc_id"), F.col("l_orderkey").alias("page"), F.struct("l_linenumber", "l_partkey").alias("seq"),
+        (F.col("l_partkey") % 100).cast("double").alias("x"), (F.col("l_suppkey") % 60).cast("double").alias("y"), F.col("l_returnflag").alias("text"),
+    )
+
+
+_SPANS = "(select l_orderkey % 50 as doc_id, l_orderkey as page, (l_partkey % 100)::double as lo, (l_partkey % 100 + l_suppkey % 20)::double as hi from lineitem)"
+
+
+@query(f"""select doc_id, page, island, min(lo) as lo, max(hi) as hi from (
+  select *, sum(fresh) over (partition by doc_id, page order by lo, hi rows unbounded preceding) as island from (
+    select *, case when lo > max(hi) over (partition by doc_id, page order by lo, hi rows between unbounded preceding and 1 preceding) then 1 else 0 end as fresh from {_SPANS}))
+group by doc_id, page, island""")
+def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2, D8, L5."""
+    li = _table(spark, sf_dir, "lineitem")
+    lo = F.col("l_partkey") % 100
+    spans = li.select((F.col("l_orderkey") % 50).alias("doc_id"), F.col("l_orderkey").alias("page"), lo.cast("double").alias("lo"), (lo + F.col("l_suppkey") % 20).cast("double").alias("hi"))
+    return layout.merged_intervals(spans)
+
+
+@query(f"""select doc_id, page, cluster, avg(v) as center, count(*) as n from (
+  select *, sum(fresh) over (partition by doc_id, page order by v) as cluster from (
+    select doc_id, page, lo as v, case when lo - lag(lo) over (partition by doc_id, page order by lo) > 4 then 1 else 0 end as fresh from {_SPANS}))
+group by doc_id, page, cluster having count(*) >= 2""")
+def x_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D10."""
+    return layout.clusters(_items(spark, sf_dir).select("doc_id", "page", F.col("x").alias("v")))
+
+
+@query()
+def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anchor fold, tested against a loop."""
+    return layout.lines(_items(spark, sf_dir))
+
+
+@query("""select l_orderkey as page, floor(l_partkey % 100 / 25)::int as col, floor(l_suppkey % 60 / 20)::int as "row", count(*) as n
+from lineitem group by all""")
+def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items between rulings every 25 and 20 points, without tolerance."""
+    items = _items(spark, sf_dir).withColumn("text", F.lit("x"))
+    pos = F.array(*[F.struct(F.lit("v").alias("orient"), F.lit(float(x)).alias("pos")) for x in (0, 25, 50, 75, 100)], *[F.struct(F.lit("h").alias("orient"), F.lit(float(y)).alias("pos")) for y in (0, 20, 40, 60)])
+    rulings = items.select("doc_id", "page").distinct().select("doc_id", "page", F.inline(pos))
+    found = layout.grid_cells(rulings, items, tolerance=0.0)
+    return found.select("page", "col", "row", F.size(F.split("text", " ")).cast("bigint").alias("n"))
+
+
+@query("""with b as (select l_orderkey % 50 as doc_id, l_orderkey as page, l_linenumber as seq, l_partkey % 3 as col, l_suppkey % 60 as y from lineitem where l_linenumber > 0),
+f as (select *, 2 * sum((col = 0)::int) over (partition by doc_id, page order by y, seq, col rows unbounded preceding) - (col = 0)::int as band from b)
+select doc_id, page, seq, col, y, row_number() over (partition by doc_id, page order by band, col, y, seq) as place from f
+where (page, seq) in (select page, seq from b group by page, seq having count(*) = 1) and page in (select page from b group by page having count(*) = count(distinct seq))""")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3 on pages whose blocks have distinct numbers."""
+    li = _table(spark, sf_dir, "lineitem")
+    blocks = li.select((F.col("l_orderkey") % 50).alias("doc_id"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("seq"), (F.col("l_partkey") % 3).alias("column"), (F.col("l_suppkey") % 60).alias("y"))
+    clear = blocks.groupBy("page").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("k")).where("n = k").select("page")
+    return layout.reading_order(blocks.join(clear, "page", "left_semi")).withColumnRenamed("column", "col")
+
+
+@query("""with recursive t as (select r_regionkey as id, r_name as name, 1 as level, r_name as path from region
+  union all select 100 + n_nationkey, n_name, 2, t.path || '/' || n_name from nation join t on n_regionkey = t.id and t.level = 1)
+select 'H' || level as type, name, path from t""")
+def struct_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heading outline of a two-level tree."""
+    region, nation = _table(spark, sf_dir, "region"), _table(spark, sf_dir, "nation")
+    top = region.select(F.lit("H1").alias("type"), F.col("r_name").alias("name"), F.col("r_name").alias("path"))
+    below = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)  # region has five rows
+    return top.union(below.select(F.lit("H2"), "n_name", F.concat_ws("/", "r_name", "n_name")))
+
+
+@query("""select conv_id, string_agg(case when role = 'user' then '# ' else '' end || text, chr(10) || chr(10) order by turn) as text
+from conversations where trim(text) <> '' group by conv_id""")
+def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs with marked headings, empty lines between."""
+    level = F.when(F.col("role") == "user", 1).otherwise(0).alias("heading_level")
+    docs = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text", level))).alias("p"))
+    return docs.select("conv_id", render.paragraphs_text(F.col("p")).alias("text")).where("text <> ''")
