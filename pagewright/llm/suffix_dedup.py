@@ -2,10 +2,11 @@
 
 The suffixes to sort are found first.  Winnowing picks, by content alone, an anchor in every string of ``length``
 bytes, so equal strings hold equal anchors at equal places.  Each anchor travels as a hash with a hash of its context,
-all bytes that a string around it can hold.  Equal contexts collapse to the earliest; of an anchor with several
+the bytes of the strings that chose it.  Equal contexts collapse to the earliest; of an anchor with several
 contexts those earliest ones send their bytes.  Their suffixes are ordered by deep-shallow sorting: multikey
-quicksort, eight bytes a step, to a shallow depth, then a blind trie for each group that still agrees.  Leaves of the
-trie are equal strings; all but the earliest of them are covered.
+quicksort, eight bytes a step, to a shallow depth, then a blind trie for each group that still agrees.  The tries keep
+branching places alone and grow together, a level at a time.  Their leaves are equal strings; all but the earliest are
+covered.
 
 An anchor with very many contexts sends single strings dealt by their own hash, so no group meets in one task.
 """
@@ -28,8 +29,13 @@ GRAM = 32
 SHALLOW = 24
 #: Contexts from which an anchor's strings are dealt one by one.
 CROWD = 2_000
-FULL, EDGE, SINGLE = 0, 1, 2
+FULL, EDGE, SINGLE, SENT = 0, 1, 2, 9
 NO_ID = -(1 << 63)
+#: Bytes of contexts that are sorted at once, and bytes of strings that a task gathers before it sends them.
+SORT_BYTES = 4 << 20
+SEND_BYTES = 16 << 20
+#: A place and the bytes of its context before and after it, in one number.
+SPAN_BITS = 12
 _DONE = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 _SPREAD = "kind int, part int, doc_id bigint, text binary, spans binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
@@ -44,27 +50,37 @@ def _sliding(x: np.ndarray, w: int, take) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """(document, place, context's begin and end, anchor's hash, context's hash) of the anchors; places in the block."""
+    """(document, place, context's begin and end, anchor's hash, context's hash) of the anchors; places in the block.
+
+    A string's anchor is the leftmost of its grams with the least upper half of a hash.
+    """
     n, w = len(data), length - gram + 1
-    if n < length:
+    stop = np.repeat(offsets[1:], np.diff(offsets))
+    inside = np.flatnonzero(np.arange(n - length + 1) + length <= stop[: n - length + 1]) if n >= length else np.zeros(0, np.int64)
+    if not len(inside):
         return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
     spans = bw.Words(data, offsets, None, None, None)
     at = np.arange(n - gram + 1)
     hashes = spans.span_hash(at, at + gram)
-    least = _sliding(hashes, w, np.minimum)
-    stop = np.repeat(offsets[1:], np.diff(offsets))
-    inside = np.arange(n - length + 1) + length <= stop[: n - length + 1]
-    least = np.where(inside, least, np.uint64(0))
-    edge = np.zeros(w - 1, np.uint64)
-    place = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), w, np.maximum) == hashes)
+    keys = (hashes >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
+    chosen = (_sliding(keys, w, np.minimum)[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+    place, begin, end = chosen[new], inside[new], inside[np.append(new[1:] - 1, len(inside) - 1)] + length
     doc = np.searchsorted(offsets, place, side="right") - 1
-    begin, end = np.maximum(offsets[doc], place - (w - 1)), np.minimum(offsets[doc + 1], place + length)
-    real = (end - begin >= length) & (place + gram <= end)
-    doc, place, begin, end = doc[real], place[real], begin[real], end[real]
     context = bw.mix(spans.span_hash(begin, end) + ((place - begin) * 4096 + (end - place)).astype(np.uint64))
     return doc, place, begin, end, hashes[place], context
 
 
+def _coded(place: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return place << (2 * SPAN_BITS) | (place - begin) << SPAN_BITS | (end - place)
+
+
+def _decoded(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, begin, end)"""
+    low, place = (1 << SPAN_BITS) - 1, code >> (2 * SPAN_BITS)
+    return place, place - (code >> SPAN_BITS & low), place + (code & low)
+
+
 def _known(ids: pa.Array) -> np.ndarray:
     return ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -77,8 +93,8 @@ def _found(parts: int, length: int, gram: int):
         for batch in batches:
             ids = _known(batch.column(0))
             for first, last, data, offsets in bw.blocks(batch.column(1)):
-                doc, place, _, _, anchor, context = anchors(data, offsets, length, gram)
-                own, place = ids[first:last][doc], place - offsets[doc]
+                doc, place, begin, end, anchor, context = anchors(data, offsets, length, gram)
+                own, place = ids[first:last][doc], _coded(place - offsets[doc], begin - offsets[doc], end - offsets[doc])
                 order = np.lexsort((place, own, context, anchor))
                 anchor, context, own, place = anchor[order], context[order], own[order], place[order]
                 later = np.zeros(len(anchor), bool)  # in this block: the same anchor and context, strictly earlier
@@ -159,153 +175,164 @@ def _cut(text: bytes, spans: np.ndarray, whole: bool) -> tuple:
 
 def _spread(parts: int, length: int, gram: int, whole: bool):
     """With its places at hand a document is done, or waits and sends the contexts that must be compared."""
-    w = length - gram + 1
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    names = [x.split()[0] for x in _SPREAD.split(", ")]
+
+    def key_of(piece: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(piece, digest_size=7).digest(), "little")
+
+    def packed(rows: list, sent: list) -> Iterator[pa.RecordBatch]:
+        # Contexts with equal bytes: of those at hand the earliest stands for all, and the later ones are covered.
+        first: dict[bytes, tuple] = {}
+        for key, own, begin, piece in sorted(sent, key=lambda x: x[1:3]):
+            lead = first.setdefault(piece, (own, begin, key))
+            if lead[:2] != (own, begin):
+                rows.append((SINGLE, None, own, None, None, begin, begin + len(piece), None, None, None))
+        groups: dict[int, list] = {}
+        for piece, (own, begin, key) in first.items():
+            groups.setdefault(key % parts, []).append((own, begin, key // parts, piece))
+        for part, own in groups.items():
+            body = bw._C.compress(b"".join(x[3] for x in own))
+            rows.append((SENT, part, None, body, np.array([(a, b, len(c), k) for a, b, k, c in own], np.int64).tobytes(), None, None, None, None, None))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, sent, size = [], [], 0
         for batch in batches:
-            rows, sent = [], []
-            for r in batch.to_pylist():
-                text, own = r["text"] or b"", NO_ID if r["doc_id"] is None else r["doc_id"]
-                full, edge, single = (np.sort(np.array(r[k] or [], np.int64)) for k in ("full", "edge", "single"))
-                spans = _merged(np.maximum(full - (w - 1), 0), np.minimum(full + length, len(text)))
+            for i in range(batch.num_rows):
+                r = {k: batch.column(k)[i] for k in ("doc_id", "text", "full", "edge", "single")}
+                text, doc_id = r["text"].as_py() or b"", r["doc_id"].as_py()
+                own = NO_ID if doc_id is None else doc_id
+                full, edge, single = (np.sort(r[k].values.to_numpy()) if r[k].is_valid else np.zeros(0, np.int64) for k in ("full", "edge", "single"))
+                _, begin, end = _decoded(full)
+                order = np.argsort(begin, kind="stable")
+                spans = _merged(begin[order], np.minimum(end[order], len(text)))
+                size += len(text)
                 if not len(edge) and not len(single):
-                    rows.append((FULL, None, r["doc_id"], None, None, *_cut(text, spans, whole)))
-                    continue
-                rows.append((EDGE, None, r["doc_id"], text, spans.tobytes(), None, None, None, None, None))
-                for p in edge.tolist():
-                    key = int.from_bytes(hashlib.blake2b(text[p : p + gram], digest_size=8).digest(), "little")
-                    begin, end = max(p - (w - 1), 0), min(p + length, len(text))
-                    sent.append((key % parts, own, begin, text[begin:end]))
-                for q in sorted({q for p in single.tolist() for q in range(max(p - (w - 1), 0), min(p, len(text) - length) + 1)}):
-                    piece = text[q : q + length]
-                    key = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little")
-                    sent.append((key % parts, own, q, piece))
-            # Contexts with equal bytes: within this batch the earliest stands for all, and the later ones are covered.
-            first: dict[bytes, tuple] = {}
-            for part, own, begin, piece in sorted(sent, key=lambda x: x[1:3]):
-                lead = first.setdefault(piece, (own, begin, part))
-                if lead[:2] != (own, begin):
-                    rows.append((SINGLE, None, own, None, None, begin, begin + len(piece), None, None, None))
-            groups: dict[int, list] = {}
-            for piece, (own, begin, part) in first.items():
-                groups.setdefault(part, []).append((own, begin, piece))
-            for part, own in groups.items():
-                body = bw._C.compress(b"".join(x[2] for x in own))
-                rows.append((9, part, None, body, np.array([(a, b, len(c)) for a, b, c in own], np.int64).tobytes(), None, None, None, None, None))
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            names = [x.split()[0] for x in _SPREAD.split(", ")]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    rows.append((FULL, None, doc_id, None, None, *_cut(text, spans, whole)))
+                else:
+                    rows.append((EDGE, None, doc_id, text, spans.tobytes(), None, None, None, None, None))
+                for p, a, b in zip(*(x.tolist() for x in _decoded(edge)), strict=True):
+                    sent.append((key_of(text[p : p + gram]), own, a, text[a:b]))
+                    size += b - a
+                for _, a, b in zip(*(x.tolist() for x in _decoded(single)), strict=True):
+                    sent += [(key_of(text[q : q + length]), own, q, text[q : q + length]) for q in range(a, b - length + 1)]
+                    size += (b - a - length + 1) * length
+                    if size > SEND_BYTES:
+                        yield from packed(rows, sent)
+                        rows, sent, size = [], [], 0
+                if size > SEND_BYTES:
+                    yield from packed(rows, sent)
+                    rows, sent, size = [], [], 0
+        yield from packed(rows, sent)
 
     return run
 
 
-class BlindTrie:
-    """A trie that keeps only branching places; insertion descends blindly, then compares once."""
-
-    def __init__(self) -> None:
-        self.root: list | None = None
-        self.leaves = 0
-
-    def insert(self, s: bytes) -> int:
-        """The number of the leaf with this string; all strings have the same length."""
-        if self.root is None:
-            self.root = [-1, s, 0]
-            self.leaves = 1
-            return 0
-        node = self.root
-        while node[0] >= 0:
-            child = node[1].get(s[node[0]])
-            node = child if child is not None else next(iter(node[1].values()))
-        if node[1] == s:
-            return node[2]
-        other = node[1]
-        split = next(i for i, (a, b) in enumerate(zip(s, other, strict=True)) if a != b)
-        parent, node = None, self.root
-        while 0 <= node[0] < split:
-            parent, node = node, node[1][s[node[0]]]
-        leaf = [-1, s, self.leaves]
-        self.leaves += 1
-        if node[0] == split:
-            node[1][s[split]] = leaf
-            return leaf[2]
-        branch = [split, {s[split]: leaf, other[split]: node}]
-        if parent is None:
-            self.root = branch
-        else:
-            parent[1][s[parent[0]]] = branch
-        return leaf[2]
+def _first_difference(words: np.ndarray, a: np.ndarray, b: np.ndarray, depth: np.ndarray, length: int) -> np.ndarray:
+    """Where the strings at a and b first differ, if they agree to ``depth``; ``length`` if nowhere."""
+    place = np.full(len(a), length)
+    left, at = np.arange(len(a)), np.minimum(depth, length - 8)
+    while len(left):
+        x = words[a[left] + at].astype(np.uint64) ^ words[b[left] + at].astype(np.uint64)
+        differ = x != 0
+        found = x[differ]
+        place[left[differ]] = at[differ] + sum((found < np.uint64(1 << k)).astype(np.int64) for k in range(8, 64, 8))
+        on = ~differ & (at < length - 8)
+        left, at = left[on], np.minimum(at[on] + 8, length - 8)
+    return place
+
+
+def _heads(group: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+
+
+def blind_tries(words: np.ndarray, data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int, length: int) -> np.ndarray:
+    """Numbers from 0 of the leaves under a trie for each group of strings, which agree to ``depth``.
+
+    A node keeps its branching place alone, where a member first differs from the node's first.  All nodes of a level
+    are split at once; a node without such a place is a leaf.
+    """
+    leaf = np.zeros(len(starts), np.int64)
+    live, deep, made = np.argsort(group, kind="stable"), np.full(len(starts), depth), 0
+    node = group[live]
+    while len(live):
+        heads = _heads(node)
+        size = np.diff(np.append(heads, len(live)))
+        place = _first_difference(words, starts[live], starts[np.repeat(live[heads], size)], deep, length)
+        branch = np.repeat(np.minimum.reduceat(place, heads), size)
+        order_of = np.repeat(np.arange(len(heads)), size)
+        ended = branch == length
+        leaf[live[ended]] = made + order_of[ended]
+        made += len(heads)
+        live, branch, order_of = live[~ended], branch[~ended], order_of[~ended]
+        key = order_of * 256 + data[starts[live] + branch]
+        order = np.argsort(key, kind="stable")
+        live, deep, node = live[order], branch[order] + 1, key[order]
+    return leaf
 
 
 def deep_shallow(buffer: bytes, starts: np.ndarray, length: int, shallow: int = SHALLOW) -> np.ndarray:
-    """A number for each of the ``length``-byte strings at ``starts``; equal strings get equal numbers."""
+    """A number for each of the ``length``-byte strings (8 bytes or more) at ``starts``; equal strings get equal numbers."""
     data = np.frombuffer(buffer, np.uint8)
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    words = np.ndarray((len(data) - 7,), ">u8", buffer, strides=(1,))  # the eight bytes from every byte on
     group = np.zeros(len(starts), np.int64)
-    live = np.arange(len(starts))
-    top = 1
-    depth = 0
+    live, depth, top = np.arange(len(starts)), 0, 1
     while depth + 8 <= min(shallow, length) and len(live):
-        word = np.zeros(len(live), np.uint64)
-        for k in range(8):
-            word = (word << np.uint64(8)) | data[starts[live] + depth + k]
-        order = np.lexsort((word, group[live]))
+        word = words[starts[live] + depth].astype(np.uint64)
+        order = np.argsort(word) if not depth else np.lexsort((word, group[live]))
         live, word = live[order], word[order]
-        new = np.concatenate([[True], (group[live][1:] != group[live][:-1]) | (word[1:] != word[:-1])])
-        group[live] = top + np.cumsum(new)
-        top = int(group[live][-1]) + 1
-        size = np.bincount(np.cumsum(new) - 1)
-        live = live[(size > 1)[np.cumsum(new) - 1]]
+        old = group[live]
+        new = np.concatenate([[True], (old[1:] != old[:-1]) | (word[1:] != word[:-1])])
+        number = np.cumsum(new)
+        group[live] = top + number
+        top += int(number[-1]) + 1
+        live = live[(np.bincount(number) > 1)[number]]
         depth += 8
-    live = live[np.argsort(group[live], kind="stable")]
-    # A trie of two leaves is one comparison: those of all pairs at once.
-    ids, first, size = np.unique(group[live], return_index=True, return_counts=True)
-    left, right = live[first[size == 2]], live[first[size == 2] + 1]
-    same = np.ones(len(left), bool)
-    for at in range(depth, length):
-        same[same] = data[starts[left[same]] + at] == data[starts[right[same]] + at]
-    group[right[~same]] = top + np.arange(int((~same).sum()))
-    top += int((~same).sum())
-    live = np.setdiff1d(live, np.concatenate([left, right]))
-    live = live[np.argsort(group[live], kind="stable")]
-    bounds = np.flatnonzero(np.concatenate([[True], group[live][1:] != group[live][:-1], [True]])) if len(live) else np.zeros(1, int)
-    places = starts.tolist()
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        trie = BlindTrie()
-        leaves = [trie.insert(buffer[places[i] + depth : places[i] + length]) for i in live[a:b].tolist()]
-        group[live[a:b]] = top + np.array(leaves)
-        top += trie.leaves
+    if len(live):
+        group[live] = top + blind_tries(words, data, starts[live], group[live], depth, length)
     return group
 
 
-def _compared(length: int):
-    """Covered spans of the contexts of a part, by ordering all their suffixes."""
+def _covered(head: np.ndarray, base: np.ndarray, buffer: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_id, begin, end) of what later strings of these contexts cover."""
+    many = head[:, 2] - length + 1
+    which = np.repeat(np.arange(len(head)), many)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+    group = deep_shallow(buffer, base[which] + step, length)
+    again = np.flatnonzero(np.bincount(group)[group] > 1)
+    group, own, at = group[again], head[which[again], 0], head[which[again], 1] + step[again]
+    order = np.lexsort((at, own, group))
+    group, own, at = group[order], own[order], at[order]
+    if not len(group):
+        return (np.zeros(0, np.int64),) * 3
+    heads = _heads(group)
+    lead = np.repeat(heads, np.diff(np.append(heads, len(group))))
+    later = (own != own[lead]) | (at != at[lead])
+    own, at = own[later], at[later]
+    order = np.lexsort((at, own))
+    own, at = own[order], at[order]
+    if not len(own):
+        return own, at, at
+    new = np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] > at[:-1] + length)])
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(own) - 1)
+    return own[new], at[new], at[last] + length
 
-    names = ["doc_id", "a", "b"]
+
+def _compared(length: int):
+    """Covered spans of the contexts of a part, by ordering their suffixes, those of some anchors at a time."""
 
     def run(table: pa.Table) -> pa.Table:
-        bodies = [bw._D.decompress(x.as_py()) for x in table["text"]]
-        heads = [np.frombuffer(x.as_py(), np.int64).reshape(-1, 3) for x in table["spans"]]
-        head, buffer = np.concatenate(heads), b"".join(bodies)
-        bodies.clear()
+        heads = [np.frombuffer(x.as_py(), np.int64).reshape(-1, 4) for x in table["spans"]]
+        head, buffer = np.concatenate(heads), b"".join(bw._D.decompress(x.as_py()) for x in table["text"])
         base = np.concatenate([[0], np.cumsum(head[:, 2])[:-1]])
-        many = head[:, 2] - length + 1
-        which = np.repeat(np.arange(len(head)), many)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-        own, at = head[which, 0], head[which, 1] + step
-        group = deep_shallow(buffer, base[which] + step, length)
-        order = np.lexsort((at, own, group))
-        group, own, at = group[order], own[order], at[order]
-        heads_at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        lead = np.repeat(heads_at, np.diff(np.append(heads_at, len(group))))
-        later = (own != own[lead]) | (at != at[lead])
-        own, at = own[later], at[later]
-        order = np.lexsort((at, own))
-        own, at = own[order], at[order]
-        if len(own):
-            new = np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] > at[:-1] + length)])
-            last = np.append(np.flatnonzero(new)[1:] - 1, len(own) - 1)
-            return pa.table([pa.array(own[new]), pa.array(at[new]), pa.array(at[last] + length)], names=names)
-        return pa.table([pa.array([], pa.int64())] * 3, names=names)
+        turns = -(-len(buffer) // SORT_BYTES)
+        turn = head[:, 3] % max(turns, 1)
+        found = [_covered(head[own], base[own], buffer, length) for own in (np.flatnonzero(turn == k) for k in range(turns)) if len(own)]
+        return pa.table([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in zip(*found, strict=True)], names=["doc_id", "a", "b"])
 
     return run
 
@@ -333,6 +360,8 @@ def dedup(df: DataFrame, column: str = "text", length: int = LENGTH, gram: int =
     ids come first.  Rows that repeat an id are one document, so equal ones do not remove each other.  An empty table
     gives an empty one.
     """
+    if not 8 <= length < 1 << SPAN_BITS or not 1 <= gram <= length:
+        raise ValueError("strings have 8 to 4095 bytes, and hold a gram")
     spark = df.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(f"`{column}`").cast("binary").alias("text"))
@@ -345,7 +374,7 @@ def dedup(df: DataFrame, column: str = "text", length: int = LENGTH, gram: int =
     places = places.withColumnRenamed("doc_id", "own")
     joined = docs.join(places, F.coalesce(docs.doc_id, F.lit(NO_ID)) == places.own, "left").drop("own")
     spread = stored(joined.mapInArrow(_spread(parts, length, gram, with_text), _SPREAD), "spread")
-    covered = spread.where("kind = 9").select("part", "text", "spans").groupBy("part").applyInArrow(_compared(length), "doc_id bigint, a bigint, b bigint")
+    covered = spread.where(F.col("kind") == SENT).select("part", "text", "spans").groupBy("part").applyInArrow(_compared(length), "doc_id bigint, a bigint, b bigint")
     local = spread.where(F.col("kind") == SINGLE).select("doc_id", F.col("n_bytes").alias("a"), F.col("n_removed").alias("b"))
     more = covered.unionByName(local).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("more")).withColumnRenamed("doc_id", "own")
     waiting = spread.where(F.col("kind") == EDGE).select("doc_id", "text", "spans")
