@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions import render, textops
-from pagewright.operators import layout
+from pagewright.functions import document, render, textops
+from pagewright.operators import assembly, layout
 from pagewright.sources import files, ooxml
 
 QUERIES: dict = {}
@@ -289,3 +289,42 @@ def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.when(F.col("role") == "user", 1).otherwise(0).alias("heading_level")
     docs = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text", level))).alias("p"))
     return docs.select("conv_id", render.paragraphs_text(F.col("p")).alias("text")).where("text <> ''")
+
+
+@query("""with t as (select conv_id, row_number() over (partition by conv_id order by turn) as i, count(*) over (partition by conv_id) as n, role,
+  '# ' || role || case when trim(text) <> '' and text <> role then chr(10) || chr(10) || text else '' end as text from conversations)
+select conv_id as doc_id, '# Document' || chr(10) || chr(10)
+  || case when n > 1 then '> **문서 정보**' || chr(10) || '> - 포맷: PPTX' || chr(10) || '> - 페이지: ' || n || chr(10) || chr(10) else '' end
+  || '## 목차' || chr(10) || chr(10) || string_agg('- ' || role, chr(10) order by i) || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+  || string_agg(case when n > 1 then '## 페이지 ' || i || chr(10) || chr(10) else '' end || text || chr(10), chr(10) order by i) as markdown
+from t group by conv_id, n""")
+def presentation_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as presentations, decoded, assembled and rendered."""
+    make = lambda p: ooxml.write_pptx([(r.role, r.text) for r in p.sort_values("turn").itertuples()])
+    rows = ooxml.elements(_files(_table(spark, sf_dir, "conversations"), "conv_id", make), "pptx")
+    return assembly.presentations(rows).select("doc_id", document.to_markdown(F.col("doc")).alias("markdown"))
+
+
+@query("""with g as (select n_regionkey as doc_id, count(*) as n, string_agg(n_nationkey || chr(9) || n_name, chr(10) order by n_nationkey) as tsv from nation group by 1)
+select doc_id, '=== nations ===' || chr(10) || tsv || chr(10) as text, 1 as page_count, n::int as rows, 2 as cols, 'nations' as heading from g""")
+def workbook_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks to documents with their text, tables and headings."""
+    make = lambda p: ooxml.write_xlsx({"nations": [[str(r.n_nationkey), r.n_name] for r in p.sort_values("n_nationkey").itertuples()]})
+    rows = ooxml.elements(_files(_table(spark, sf_dir, "nation"), "n_regionkey", make), "xlsx")
+    return assembly.workbooks(rows).selectExpr("doc_id", "doc.text as text", "doc.page_count as page_count", "doc.tables[0].rows as rows", "doc.tables[0].cols as cols", "doc.headings[0].text as heading")
+
+
+@query("""select r_regionkey, '{"metadata":{"filename":"' || r_regionkey || '.txt","format":"txt","page_count":1,"title":"","author":""},"content":{"text":"' || r_name
+  || '","headings":[]},"pages":[],"tables":[],"images":[]}' as json from region""")
+def document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain texts as JSON documents."""
+    name = F.concat(F.col("r_regionkey").cast("string"), F.lit(".txt"))
+    doc = document.document(filename=name, format=F.lit("txt"), text=F.col("r_name"))
+    return _table(spark, sf_dir, "region").select("r_regionkey", doc.alias("doc")).select("r_regionkey", document.to_json(F.col("doc")).alias("json"))
+
+
+@query("""select s_nationkey, count(*) >= 1 as is_data, 'key name note' as first_row from supplier group by s_nationkey""")
+def data_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of data, and rows as text."""
+    grid = F.col("grid")
+    return _supplier_grids(spark, sf_dir).select("s_nationkey", document.is_data_table(grid).alias("is_data"), F.get(document.row_texts(grid), F.lit(0)).alias("first_row"))
