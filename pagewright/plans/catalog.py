@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import document, render, textops
 from pagewright.operators import assembly, layout
-from pagewright.sources import files, ooxml
+from pagewright.sources import files, ooxml, pdf
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -328,3 +328,14 @@ def data_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of data, and rows as text."""
     grid = F.col("grid")
     return _supplier_grids(spark, sf_dir).select("s_nationkey", document.is_data_table(grid).alias("is_data"), F.get(document.row_texts(grid), F.lit(0)).alias("first_row"))
+
+
+@query("""select n_regionkey as doc_id, (n_nationkey % 3)::int as page, n_name as text, (10 * n_nationkey)::double as x, (700 - 20 * n_nationkey)::double as y from nation""")
+def pdf_text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations at positions of pages, written and decoded."""
+
+    def make(p: pd.DataFrame) -> bytes:
+        return pdf.write([[(r.n_name, 10 * r.n_nationkey, 700 - 20 * r.n_nationkey) for r in p.itertuples() if r.n_nationkey % 3 == i] for i in range(3)])
+
+    rows = pdf.elements(_files(_table(spark, sf_dir, "nation"), "n_regionkey", make))
+    return rows.where("kind = 'text'").select("doc_id", "page", "text", "x", "y")
