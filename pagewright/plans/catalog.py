@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import struct
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import document, render, textops
 from pagewright.operators import assembly, layout
-from pagewright.sources import files, ooxml, pdf
+from pagewright.sources import compound, files, ooxml, pdf
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -339,3 +341,15 @@ def pdf_text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = pdf.elements(_files(_table(spark, sf_dir, "nation"), "n_regionkey", make))
     return rows.where("kind = 'text'").select("doc_id", "page", "text", "x", "y")
+
+
+@query("""select conv_id as doc_id, row_number() over (partition by conv_id order by turn) - 1 as seq, trim(text) as text from conversations where trim(text) <> ''""")
+def ppt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as binary presentations, one text record a turn."""
+
+    def make(p: pd.DataFrame) -> bytes:
+        texts = [t.encode("utf-16-le") for t in p.sort_values("turn").text]
+        return compound.write({"PowerPoint Document": b"".join(struct.pack("<HHI", 0, 4000, len(t)) + t for t in texts)})
+
+    rows = compound.elements(_files(_table(spark, sf_dir, "conversations").where("text is not null"), "conv_id", make), "ppt")
+    return rows.where("kind = 'shape'").select("doc_id", F.col("row").alias("seq"), "text")
