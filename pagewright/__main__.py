@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +18,15 @@ def documents(found: DataFrame) -> DataFrame:
     """(path, doc) of files with a path, content and format; formats that cannot be assembled are left out."""
     numbered = found.withColumn("doc_id", F.xxhash64("path"))
     parts = []
-    for format, assemble in (("pptx", assembly.presentations), ("xlsx", assembly.workbooks)):
+    word = {f: (lambda rows, f=f: assembly.written(rows, f)) for f in ("docx", "hwpx")}
+    for format, assemble in ({"pptx": assembly.presentations, "xlsx": assembly.workbooks} | word).items():
         own = numbered.where(F.col("format") == format)
         docs = assemble(ooxml.elements(own, format)).withColumn("doc", F.col("doc").withField("filename", F.lit("")))
         parts.append(own.select("doc_id", "path").join(docs, "doc_id").select("path", "doc"))
     plain = numbered.where(F.col("format").isin("txt", "md"))
     parts.append(plain.select("path", document.document(format=F.col("format"), text=F.decode("content", "UTF-8")).alias("doc")))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return every.withColumn("doc", F.col("doc").withField("filename", name))
+    return reduce(DataFrame.unionByName, parts).withColumn("doc", F.col("doc").withField("filename", name))
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -45,3 +45,20 @@ def workbooks(rows: DataFrame) -> DataFrame:
         pages=F.transform("sheets", lambda s: F.struct(s["table"]["page"].alias("page"), s["name"].alias("name"), render.tsv(s["grid"]).alias("text"), F.array(s["table"]).alias("tables"))),
         tables=F.transform("sheets", lambda s: s["table"]),
     ).alias("doc"))
+
+
+def written(rows: DataFrame, format: str) -> DataFrame:
+    """(doc_id, doc) of docx and hwpx: paragraphs with marked headings as one text, and the tables."""
+    ids = rows.where("kind <> 'error'").select("doc_id").distinct()
+    every = F.array_sort(F.collect_list(F.struct("seq", "text", "heading_level"))).alias("paragraphs")
+    texts = ooxml.paragraphs(rows).groupBy("doc_id").agg(every)
+    grids = render.dense(rows.where("kind = 'cell'"), ["doc_id", "part"])
+    table = F.struct(F.lit(1).alias("page"), F.lit("").alias("name"), F.col("rows").cast("int").alias("rows"), F.col("cols").cast("int").alias("cols"), render.markdown(F.col("grid")).alias("markdown"))
+    tables = grids.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", table.alias("table")))).alias("tables"))
+    docs = ids.join(texts, "doc_id", "left").join(tables, "doc_id", "left").join(_properties(rows), "doc_id", "left")
+    headings = F.filter("paragraphs", lambda p: (p["heading_level"] > 0) & p["text"].rlike(r"\S"))
+    return docs.select("doc_id", document.document(
+        format=F.lit(format), title=F.col("title"), author=F.col("creator"), text=render.paragraphs_text(F.col("paragraphs")),
+        headings=F.transform(headings, lambda p: F.struct(p["heading_level"].alias("level"), p["text"].alias("text"))),
+        tables=F.transform("tables", lambda t: t["table"]),
+    ).alias("doc"))

@@ -69,3 +69,14 @@ def test_stream(spark, folder):
     query = ingest.stream_files(spark, str(folder)).select("format").writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(r.format for r in spark.table("seen").collect()) == ["pptx", "txt", "xlsx", "xlsx"]
+
+
+def test_written(spark):
+    body = '<w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>H</w:t></w:r></w:p><w:p><w:r><w:t>x</w:t></w:r></w:p><w:p/>'
+    table = "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc/></w:tr><w:tr><w:tc/><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
+    whole = lambda inner: ooxml._zipped({"word/document.xml": f'<w:document xmlns:w="w"><w:body>{inner}</w:body></w:document>'})
+    made = spark.createDataFrame([(1, bytearray(whole(body + table))), (2, bytearray(whole(table))), (3, bytearray(b"no"))], "doc_id bigint, content binary")
+    docs = {r.doc_id: r.doc for r in assembly.written(ooxml.elements(made, "docx"), "docx").collect()}
+    assert set(docs) == {1, 2}
+    assert (docs[1].text, [(h.level, h.text) for h in docs[1].headings]) == ("## H\n\nx", [(2, "H")])
+    assert docs[2].text == "" and docs[2].tables[0].markdown == "| a |  |\n| --- | --- |\n|  | b |"
