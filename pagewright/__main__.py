@@ -23,8 +23,10 @@ def documents(found: DataFrame) -> DataFrame:
         own = numbered.where(F.col("format") == format)
         docs = assemble(ooxml.elements(own, format)).withColumn("doc", F.col("doc").withField("filename", F.lit("")))
         parts.append(own.select("doc_id", "path").join(docs, "doc_id").select("path", "doc"))
+    whole = F.col("content").cast("string")
+    text = F.when(F.is_valid_utf8(whole), whole).otherwise(F.decode("content", "ISO-8859-1"))
     plain = numbered.where(F.col("format").isin("txt", "md"))
-    parts.append(plain.select("path", document.document(format=F.col("format"), text=F.decode("content", "UTF-8")).alias("doc")))
+    parts.append(plain.select("path", document.document(format=F.col("format"), text=text).alias("doc")))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     return reduce(DataFrame.unionByName, parts).withColumn("doc", F.col("doc").withField("filename", name))
 

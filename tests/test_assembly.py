@@ -63,6 +63,10 @@ def test_command_line(spark, folder, capsys):
     out = capsys.readouterr().out
     assert "# a\n" in out and "### 테이블 1" in out and "plain é" in out
     assert cli.main([str(folder / "d.xlsx")]) == 1
+    (folder / "e.txt").write_bytes(b"caf\xe9")
+    capsys.readouterr()
+    assert cli.main([str(folder / "e.txt")]) == 0
+    assert capsys.readouterr().out == "café\n"
 
 
 def test_stream(spark, folder):
