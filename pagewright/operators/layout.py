@@ -63,11 +63,16 @@ def grid_cells(rulings: DataFrame, items: DataFrame, tolerance: float = 3.0) ->
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:
-    """Order of blocks (L3): full-width ones (column 0) split the page into bands; left, then right, inside each."""
-    by = Window.partitionBy(*PAGE).orderBy("y", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    """Order of blocks (L3): full-width ones (column 0) split the page into bands; left, then right, inside each.
+
+    Blocks of equal y and seq come by column, then by all other columns that can be ordered; only equal rows are left.
+    """
+    key = ["y", "seq", "column"]
+    key += [c for c, kind in blocks.dtypes if c not in (*PAGE, *key) and "map<" not in kind and "variant" not in kind]
+    by = Window.partitionBy(*PAGE).orderBy(*[F.col(f"`{c}`") for c in key]).rowsBetween(Window.unboundedPreceding, 0)
     full = F.when(F.col("column") == 0, 1).otherwise(0)
     banded = blocks.withColumn("band", 2 * F.sum(full).over(by) - full)
-    return banded.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy("band", "column", "y", "seq"))).drop("band")
+    return banded.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy("band", "column", *[F.col(f"`{c}`") for c in key if c != "column"]))).drop("band")
 
 
 def classify(blocks: DataFrame) -> DataFrame:

@@ -266,13 +266,24 @@ f as (select *, 2 * sum((col = 0)::int) over (partition by doc_id, page order by
 select doc_id, page, seq, col, y, row_number() over (partition by doc_id, page order by band, col, y, seq) as place from f
 where (page, seq) in (select page, seq from b group by page, seq having count(*) = 1) and page in (select page from b group by page having count(*) = count(distinct seq))""")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L3 on pages whose blocks have distinct numbers."""
+    """L3 on pages whose blocks have distinct numbers, as its SQL has it; reading_order_all takes every page."""
     li = _table(spark, sf_dir, "lineitem")
     blocks = li.select((F.col("l_orderkey") % 50).alias("doc_id"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("seq"), (F.col("l_partkey") % 3).alias("column"), (F.col("l_suppkey") % 60).alias("y"))
     clear = blocks.groupBy("page").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("k")).where("n = k").select("page")
     return layout.reading_order(blocks.join(clear, "page", "left_semi")).withColumnRenamed("column", "col")
 
 
+@query("""with b as (select l_orderkey % 50 as doc_id, l_orderkey as page, l_linenumber as seq, l_partkey % 3 as col, l_suppkey % 60 as y from lineitem),
+f as (select *, 2 * sum((col is not distinct from 0)::int) over (partition by doc_id, page order by y nulls first, seq nulls first, col nulls first rows unbounded preceding)
+  - (col is not distinct from 0)::int as band from b)
+select doc_id, page, seq, col, y, row_number() over (partition by doc_id, page order by band, col nulls first, y nulls first, seq nulls first) as place from f""")
+def reading_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3 on all pages: blocks of equal place and number come by column, and what is still equal are equal rows."""
+    li = _table(spark, sf_dir, "lineitem")
+    blocks = li.select((F.col("l_orderkey") % 50).alias("doc_id"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("seq"), (F.col("l_partkey") % 3).alias("column"), (F.col("l_suppkey") % 60).alias("y"))
+    return layout.reading_order(blocks).withColumnRenamed("column", "col")
+
+
 @query("""with recursive t as (select r_regionkey as id, r_name as name, 1 as level, r_name as path from region
   union all select 100 + n_nationkey, n_name, 2, t.path || '/' || n_name from nation join t on n_regionkey = t.id and t.level = 1)
 select 'H' || level as type, name, path from t""")
