@@ -99,3 +99,18 @@ def mix(df: DataFrame, weights: Callable[[dict[str, int]], dict[str, int]] = roo
 def ordered(mixed: DataFrame) -> DataFrame:
     """Rows in the order of their position, file after file."""
     return mixed.repartitionByRange("position").sortWithinPartitions("position")
+
+
+def numbered(written: DataFrame) -> DataFrame:
+    """Adds ``position``, from 0, to the rows of ``ordered`` as read from its Parquet files, whose names keep the order.
+
+    The reader packs files by size, so a row's place is that of its file by part and file number, then that in the file.
+    Only the row counts of the files, one row a file, are in one place.
+    """
+    name = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long"), F.regexp_extract("_metadata.file_name", r"-c(\d+)", 1).cast("long")
+    rows = written.select(*[F.col(f"`{c}`") for c in written.columns], F.struct(*[F.coalesce(x, F.lit(0)) for x in name], "_metadata.file_name").alias("__file__"), F.col("_metadata.row_index").alias("__row__"))
+    counts = rows.groupBy("__file__").agg(F.count("*").alias("__n__"))
+    before = F.coalesce(F.sum("__n__").over(Window.orderBy("__file__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__file__", before.alias("__before__"))
+    placed = rows.join(F.broadcast(offsets), "__file__")  # a row a file
+    return placed.select(*[F.col(f"`{c}`") for c in written.columns if c != "position"], (F.col("__before__") + F.col("__row__")).alias("position"))
