@@ -7,6 +7,9 @@ different line go on; those emit all variants with one character deleted as hash
 * equal variants of equally long lines, with the same position deleted, differ by one substitution;
 * a variant equal to a whole shorter line differs by one insertion.
 
+With ``near_chars``, lines that take part but have under ``MIN_WORDS`` words and under so many characters go only as
+exact repeats.
+
 Keys are made chunk by chunk (hash before, chunk less a character, hash behind), so a line's work grows with its
 length and not with its square.  Partners that share a key are verified by their edit distance.
 """
@@ -20,6 +23,8 @@ from pagewright.llm.store import small, stored
 
 CHUNK = 64
 MIN_WORDS = 3
+#: From this length on, a line of few words, or of a script without spaces, is long enough for one edit to be small.
+NEAR_CHARS = 16
 
 
 def _takes_part(line: Column, min_words: int) -> Column:
@@ -76,10 +81,14 @@ def _neighbours(lines: DataFrame) -> DataFrame:
     return rows.select("h", F.explode(F.array_compact(others)).alias("other")).distinct()
 
 
-def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_chars: int | None = None) -> DataFrame:
     """doc_id and ``kept``, the sorted numbers of its kept lines of at least ``min_words`` words."""
     lines = _lines(docs, min_words)
-    hashed = lines.select(F.struct(F.xxhash64("line").alias("a"), F.hash("line").alias("b")).alias("h"), _halves(F.col("line")).alias("halves"), F.struct("doc_id", "line_no").alias("pos"))
+    own_halves = _halves(F.col("line"))
+    if near_chars is not None:
+        near_too = _takes_part(F.col("line"), MIN_WORDS) | (F.length("line") >= near_chars)
+        own_halves = F.when(near_too, own_halves).otherwise(F.array().cast("array<bigint>"))
+    hashed = lines.select(F.struct(F.xxhash64("line").alias("a"), F.hash("line").alias("b")).alias("h"), own_halves.alias("halves"), F.struct("doc_id", "line_no").alias("pos"))
     lone = stored(hashed.groupBy("h", "halves").agg(F.min("pos").alias("pos")), "lines")
     halves = lone.select("h", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("half")
@@ -95,16 +104,19 @@ def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return kept.groupBy("pos.doc_id").agg(F.sort_array(F.collect_list("pos.line_no")).alias("kept"))
 
 
-def dedup(df: DataFrame, column: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(df: DataFrame, column: str = "text", min_words: int = MIN_WORDS, near_chars: int | None = None) -> DataFrame:
     """Replaces ``column`` by its text without removed lines; adds ``n_lines``, ``n_removed`` and ``emptied``.
 
+    With ``min_words`` 1 and ``near_chars``, every line that is not blank goes with its exact repeats, and near lines go
+    where both have ``MIN_WORDS`` words or ``near_chars`` characters.
+
     Lines of under ``min_words`` words, blank ones among them, stay and remove nothing.  Among equal positions (rows
     that repeat a doc_id) all stay; a null doc_id comes before all others.  A null text stays null with no lines, and
-    an empty table gives an empty one.  ``emptied`` marks documents of whose long lines none is left.  Other columns
+    an empty table gives an empty one.  ``emptied`` marks documents of whose lines that take part none is left.  Other columns
     pass; input columns with the names of added ones are replaced.
     """
     df = df.drop("n_lines", "n_removed", "emptied")
-    kept = kept_lines(df.select("doc_id", F.col(f"`{column}`").alias("text")), min_words).withColumnRenamed("doc_id", "__id__")
+    kept = kept_lines(df.select("doc_id", F.col(f"`{column}`").alias("text")), min_words, near_chars).withColumnRenamed("doc_id", "__id__")
     split = F.split(F.col(f"`{column}`"), "\n", -1)
     joined = df.join(kept, F.col("doc_id").eqNullSafe(F.col("__id__")), "left").withColumn("__lines__", split)
     numbers = F.sequence(F.lit(0), F.size("__lines__") - 1)
