@@ -3,7 +3,7 @@
 A line is a ``\\n``-separated span.  The rules, each on one line:
 
 * punctuation: over ``max_symbols`` of ``#*$%&|<>`` a word, or at least half of three or more words end in ``!!``;
-* navigation: a ``|`` for every fourth word, or short lines made of menu words only;
+* navigation: a ``|`` for every fourth word, or lines of under eight words made of menu words only;
 * shouting: at least ``max_upper`` of twenty or more ASCII letters in upper case;
 * boilerplate: an exact repeat of an earlier line of the text, or a phrase of ``BOILERPLATE``.
 
@@ -110,10 +110,15 @@ def _measure(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> tuple[list,
     bad &= some
     bad |= repeat
     raw = data.tobytes()
-    for i in np.flatnonzero(some & ~bad & (ends - begins < 400)):
-        line = raw[begins[i] : ends[i]].lower()
-        parts = line.split()
-        bad[i] = any(p in line for p in BOILERPLATE) or len(parts) < 8 and all(p.strip(b".,:>-") in MENU for p in parts)
+    low = raw.lower()
+    for phrase in BOILERPLATE:
+        at = low.find(phrase)
+        while at >= 0:
+            i = np.searchsorted(begins, at, side="right") - 1
+            bad[i] |= at + len(phrase) <= ends[i]  # else it runs into the next text
+            at = low.find(phrase, at + 1)
+    for i in np.flatnonzero((line_words > 0) & (line_words < 8) & ~bad):
+        bad[i] = all(p.strip(b".,:>-") in MENU for p in low[begins[i] : ends[i]].split())
     lost = bw.per_doc(np.where(bad, line_words, 0), line_first)
     base = (n_words < rules.min_words) | (100 * n_repeat > rules.max_repeat_percent * n_words)
     kept = ~base & (lost <= rules.max_lost * n_words)
