@@ -67,6 +67,21 @@ def blocks(column: pa.Array | pa.ChunkedArray, most: int = BLOCK_BYTES) -> Itera
         first = last
 
 
+def pieces(data: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[np.ndarray]:
+    """A long text in runs of about ``most`` bytes that end at white space, so no word is cut."""
+    at = 0
+    while at < len(data):
+        end = min(at + most, len(data))
+        while end < len(data):
+            gap = np.flatnonzero(SPACE[data[end : end + most]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end = min(end + most, len(data))
+        yield data[at:end]
+        at = end
+
+
 @dataclass
 class Words:
     """Words of the documents of a block; ``first[d]:first[d + 1]`` are those of document d."""
