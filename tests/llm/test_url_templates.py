@@ -49,3 +49,31 @@ def test_learned_templates(spark):
     assert {v for s, v, _ in got if s != "buy"} == {"allow"}
     assert len({t for s, _, t in got if s in ("en", "fr", "es")}) == 1
     assert len({t for s, _, t in got if s == "user"}) == 1
+
+
+def test_templates_without_a_label_are_allowed_whatever_the_rest(spark):
+    rows = [(f"http://bad.net/{i}", 1) for i in range(40)] + [("http://other.org/fr2/page", 2), ("http://fresh.example.org/a/b", 3)] * 2
+    got = ut.judge(spark.createDataFrame(rows, "url string, segs int"), URL_RULES).collect()
+    assert {r.verdict for r in got if r.segs == 1} == {"block"}
+    assert {(r.verdict, r.purity) for r in got if r.segs > 1} == {("allow", None)} and len(got) == 44
+
+
+def test_deep_paths_are_told_apart(spark):
+    deep = "/".join("abcdefghij")
+    rows = [(f"http://h.x/{deep}/bad/{i}", True) for i in range(30)] + [(f"http://h.x/{deep}/good/{i}", False) for i in range(30)]
+    rows += [(f"http://h.x/{deep}/bad/777", None), (f"http://h.x/{deep}/good/777", None), ("http://h.x/" + "q/" * 300, None)]
+    got = {r.url.split("/")[-2]: r.verdict for r in ut.judge(spark.createDataFrame(rows, "url string, lab boolean"), [], labels=F.col("lab")).where("lab is null").collect()}
+    assert got == {"bad": "block", "good": "allow", "q": "allow"}
+
+
+def test_held_out_ruled_urls_are_judged_by_their_templates(spark):
+    """The rules' verdicts of a fifth of the ruled urls are kept back; the templates of the others find them."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    _, verdict = ut.matching_rule(URL_RULES, ut.host_of(F.col("url")), ut.path_of(F.col("url")))
+    held = F.pmod(F.xxhash64("page_id"), F.lit(5)) == 0
+    pages = pages.withColumn("said", verdict).withColumn("held", held)
+    judged = ut.judge(pages, [], labels=F.when(~F.col("held"), F.col("said") == "block")).where("held and said is not null and purity is not null").collect()
+    block = [r for r in judged if r.verdict == "block"]
+    right, constant = sum(r.verdict == r.said for r in judged), sum(r.said == "allow" for r in judged)
+    assert sum(r.said == "block" for r in block) >= 0.95 * len(block) > 0  # what is blocked is bad
+    assert right - constant >= 0.5 * (len(judged) - constant)  # and over half of the bad is found
