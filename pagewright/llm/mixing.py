@@ -21,7 +21,7 @@ from pagewright.llm.store import stored
 BLOCK_DOCS = 16
 #: Each source's documents are ranked in so many parts, so that no task ranks a whole source.
 PARTS = 1024
-_PLAN = "array<struct<s string, p array<struct<first bigint, slot bigint, k int, w int, at array<int>>>>>"
+_PLAN = "array<struct<__s__ string, __phases__ array<struct<first bigint, slot bigint, k int, w int, at array<int>>>>>"
 
 
 def period(weights: dict[str, int]) -> dict[str, list[int]]:
@@ -80,16 +80,17 @@ def mix(df: DataFrame, weights: Callable[[dict[str, int]], dict[str, int]] = roo
     totals = {r["__s__"]: r["n"] for r in counts.groupBy("__s__").agg(F.sum("__n__").alias("n")).collect()}
     own = weights(totals)
     phases = plan({s: -(-n // block_docs) for s, n in totals.items()}, own)
+    ties = [F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])]  # whichever task runs again
     before = Window.partitionBy("__s__").orderBy("__part__").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__s__", "__part__", F.coalesce(F.sum("__n__").over(before), F.lit(0)).alias("__before__"))
-    ranked = keyed.withColumn("__row__", F.row_number().over(Window.partitionBy("__s__", "__part__").orderBy("doc_id")) - 1)
+    ranked = keyed.withColumn("__row__", F.row_number().over(Window.partitionBy("__s__", "__part__").orderBy("doc_id", *ties)) - 1)
     ranked = ranked.join(offsets, ["__s__", "__part__"])
-    text = json.dumps([{"s": s, "p": p} for s, p in phases.items()])
-    table = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(text), _PLAN))).withColumnRenamed("s", "__s__")
+    text = json.dumps([{"__s__": s, "__phases__": p} for s, p in phases.items()])
+    table = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(text), _PLAN)))
     ranked = ranked.join(F.broadcast(table), "__s__")  # a row a source
     rank = F.col("__before__") + F.col("__row__")
     ranked = ranked.withColumn("__rank__", rank).withColumn("block", F.floor(F.col("__rank__") / block_docs))
-    phase = F.element_at(F.filter("p", lambda x: x["first"] <= F.col("block")), -1)
+    phase = F.element_at(F.filter("__phases__", lambda x: x["first"] <= F.col("block")), -1)
     ranked = ranked.withColumn("__p__", phase).withColumn("__j__", F.col("block") - F.col("__p__.first"))
     slot = F.col("__p__.slot") + F.expr("__j__ div __p__.k") * F.col("__p__.w") + F.expr("get(__p__.at, cast(__j__ % __p__.k as int))")
     ranked = ranked.withColumn("slot", slot).withColumn("position", F.col("slot") * block_docs + F.col("__rank__") % block_docs)
