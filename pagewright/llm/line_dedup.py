@@ -1,14 +1,13 @@
 """Line deduplication through deletion neighbourhoods, in DataFrame operations only.
 
-A line goes if an earlier line, by (doc_id, line number), is within one edit of it.  Equal lines collapse first, on
-hashes.  Two lines within one edit share their first or their last half, so only lines that share a half with a
-different line go on; those emit all variants with one character deleted as hashed keys:
+A line that is not blank goes if an earlier line, by (doc_id, text, line number), is within one edit of it.  Equal lines
+collapse first, on hashes.  Two lines within one edit share their first or their last half, so only lines that share a
+half with a different line go on; those emit all variants with one character deleted as hashed keys:
 
 * equal variants of equally long lines, with the same position deleted, differ by one substitution;
 * a variant equal to a whole shorter line differs by one insertion.
 
-With ``near_chars``, lines that take part but have under ``MIN_WORDS`` words and under so many characters go only as
-exact repeats.
+Lines of under ``near_chars`` characters go only as exact repeats: one edit of "p. 1" makes another line.
 
 Keys are made chunk by chunk (hash before, chunk less a character, hash behind), so a line's work grows with its
 length and not with its square.  Partners that share a key are verified by their edit distance.
@@ -22,8 +21,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.store import small, stored
 
 CHUNK = 64
-MIN_WORDS = 3
-#: From this length on, a line of few words, or of a script without spaces, is long enough for one edit to be small.
+#: From this length on a line is long enough for one edit to be small.
 NEAR_CHARS = 16
 
 
@@ -33,7 +31,8 @@ def _takes_part(line: Column, min_words: int) -> Column:
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    parts = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    """(doc_id, twin, line_no, line) of lines that take part; ``twin``, a hash of the text, tells apart rows that share an id."""
+    parts = docs.select("doc_id", F.xxhash64("text").alias("twin"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     return parts.where(_takes_part(F.col("line"), min_words))
 
 
@@ -81,53 +80,51 @@ def _neighbours(lines: DataFrame) -> DataFrame:
     return rows.select("h", F.explode(F.array_compact(others)).alias("other")).distinct()
 
 
-def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_chars: int | None = None) -> DataFrame:
-    """doc_id and ``kept``, the sorted numbers of its kept lines of at least ``min_words`` words."""
+def kept_lines(docs: DataFrame, min_words: int = 1, near_chars: int = NEAR_CHARS) -> DataFrame:
+    """doc_id, ``twin`` (the hash of the text) and ``kept``, the sorted numbers of its kept lines of at least ``min_words`` words."""
     lines = _lines(docs, min_words)
-    own_halves = _halves(F.col("line"))
-    if near_chars is not None:
-        near_too = _takes_part(F.col("line"), MIN_WORDS) | (F.length("line") >= near_chars)
-        own_halves = F.when(near_too, own_halves).otherwise(F.array().cast("array<bigint>"))
-    hashed = lines.select(F.struct(F.xxhash64("line").alias("a"), F.hash("line").alias("b")).alias("h"), own_halves.alias("halves"), F.struct("doc_id", "line_no").alias("pos"))
+    halves = F.when(F.length("line") >= near_chars, _halves(F.col("line"))).otherwise(F.array().cast("array<bigint>"))
+    hashed = lines.select(F.struct(F.xxhash64("line").alias("a"), F.hash("line").alias("b")).alias("h"), halves.alias("halves"), F.struct("doc_id", "twin", "line_no").alias("pos"))
     lone = stored(hashed.groupBy("h", "halves").agg(F.min("pos").alias("pos")), "lines")
     halves = lone.select("h", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("half")
     near = halves.join(shared, "half", "left_semi").select("h").distinct()
-    near = stored(lone.join(near, "h", "left_semi").select("h", "pos", "pos.doc_id", "pos.line_no"), "near-lines")
-    side = F.broadcast(near) if small(near, 64) else near
-    texts = lines.join(side, (lines.doc_id.eqNullSafe(side.doc_id)) & (lines.line_no == side.line_no)).select("h", "pos", "line")
+    near = stored(lone.join(near, "h", "left_semi").select("h", "pos", "pos.doc_id", "pos.twin", "pos.line_no"), "near-lines")
+    side = F.broadcast(near) if small(near, 72) else near
+    same = (lines.line_no == side.line_no) & (lines.twin == side.twin) & lines.doc_id.eqNullSafe(side.doc_id)
+    texts = lines.join(side, same).select("h", "pos", "line")
     texts = stored(texts.dropDuplicates(["h"]), "near-texts")
     pairs = _neighbours(texts)
     pairs = pairs.join(texts.select("h", "line"), "h").join(texts.select(F.col("h").alias("other"), F.col("line").alias("earlier")), "other")
     gone = pairs.where(F.levenshtein("line", "earlier", 1).between(0, 1)).select("h").distinct()
     kept = lone.join(gone, "h", "left_anti")
-    return kept.groupBy("pos.doc_id").agg(F.sort_array(F.collect_list("pos.line_no")).alias("kept"))
+    return kept.groupBy("pos.doc_id", "pos.twin").agg(F.sort_array(F.collect_list("pos.line_no")).alias("kept"))
 
 
-def dedup(df: DataFrame, column: str = "text", min_words: int = MIN_WORDS, near_chars: int | None = None) -> DataFrame:
+def dedup(df: DataFrame, column: str = "text", min_words: int = 1, near_chars: int = NEAR_CHARS) -> DataFrame:
     """Replaces ``column`` by its text without removed lines; adds ``n_lines``, ``n_removed`` and ``emptied``.
 
-    With ``min_words`` 1 and ``near_chars``, every line that is not blank goes with its exact repeats, and near lines go
-    where both have ``MIN_WORDS`` words or ``near_chars`` characters.
-
-    Lines of under ``min_words`` words, blank ones among them, stay and remove nothing.  Among equal positions (rows
-    that repeat a doc_id) all stay; a null doc_id comes before all others.  A null text stays null with no lines, and
-    an empty table gives an empty one.  ``emptied`` marks documents of whose lines that take part none is left.  Other columns
-    pass; input columns with the names of added ones are replaced.
+    Blank lines stay and remove nothing, and so do lines of under ``min_words`` words, where more than one is asked for.
+    Near lines go where both have ``near_chars`` characters.  A null doc_id comes before all others; rows that share an
+    id but not the text are ordered by a hash of the text, and equal rows are one document: all get its result.  A null
+    text stays null with no lines, and an empty table gives an empty one.  ``emptied`` marks documents of whose lines
+    that take part none is left.  Other columns pass; input columns with the names of added ones are replaced.
     """
     df = df.drop("n_lines", "n_removed", "emptied")
-    kept = kept_lines(df.select("doc_id", F.col(f"`{column}`").alias("text")), min_words, near_chars).withColumnRenamed("doc_id", "__id__")
-    split = F.split(F.col(f"`{column}`"), "\n", -1)
-    joined = df.join(kept, F.col("doc_id").eqNullSafe(F.col("__id__")), "left").withColumn("__lines__", split)
+    kept = kept_lines(df.select("doc_id", F.col(f"`{column}`").alias("text")), min_words, near_chars)
+    kept = kept.select(F.col("doc_id").alias("__id__"), F.col("twin").alias("__twin__"), F.col("kept").alias("__kept__"))
+    text = F.col(f"`{column}`")
+    same = F.col("doc_id").eqNullSafe(F.col("__id__")) & (F.xxhash64(text) == F.col("__twin__"))
+    joined = df.join(kept, same, "left").withColumn("__lines__", F.split(text, "\n", -1))
     numbers = F.sequence(F.lit(0), F.size("__lines__") - 1)
-    short = F.filter(numbers, lambda i: ~_takes_part(F.get("__lines__", i), min_words))
-    stay = F.array_sort(F.concat(F.coalesce("kept", F.array().cast("array<int>")), short))
-    joined = joined.withColumn("__short__", F.size(short)).withColumn("__stay__", stay)
-    text = F.array_join(F.transform("__stay__", lambda i: F.get("__lines__", i)), "\n")
-    some = F.col(f"`{column}`").isNotNull()
+    others = F.filter(numbers, lambda i: ~_takes_part(F.get("__lines__", i), min_words))
+    stay = F.array_sort(F.concat(F.coalesce("__kept__", F.array().cast("array<int>")), others))
+    joined = joined.withColumn("__others__", F.size(others)).withColumn("__stay__", stay)
+    left = F.array_join(F.transform("__stay__", lambda i: F.get("__lines__", i)), "\n")
+    some = text.isNotNull()
     return joined.select(
-        *[F.when(some, text).alias(c) if c == column else F.col(f"`{c}`") for c in df.columns],
+        *[F.when(some, left).alias(c) if c == column else F.col(f"`{c}`") for c in df.columns],
         F.when(some, F.size("__lines__")).otherwise(0).cast("long").alias("n_lines"),
         F.when(some, F.size("__lines__") - F.size("__stay__")).otherwise(0).cast("long").alias("n_removed"),
-        F.coalesce(some & F.col("kept").isNull() & (F.size("__lines__") > F.col("__short__")), F.lit(False)).alias("emptied"),
+        F.coalesce(some & F.col("__kept__").isNull() & (F.size("__lines__") > F.col("__others__")), F.lit(False)).alias("emptied"),
     )

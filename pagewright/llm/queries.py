@@ -59,53 +59,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Removes every line within one edit of an earlier one."""
+    """Removes every exact repeat of an earlier line that is not blank, and long lines within one edit of an earlier one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = line_dedup.dedup(docs)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
 ORACLE_SQL["op6_line_dedup"] = r"""
-with parts as (
-  select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents
-), numbered as (
-  select doc_id, unnest(lines) as line, unnest(range(len(lines))) as line_no from parts
-), flagged as (
-  select *, regexp_matches(line, '([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){2}[^\x20\x09-\x0D]') as long_line from numbered
-), firsts as (
-  select line, min((doc_id, line_no)) as pos, length(line) as n from flagged where long_line group by line
-), gone as (
-  select distinct a.line from firsts a join firsts b
-  on b.n between a.n - 1 and a.n + 1 and b.pos < a.pos
-    and (left(a.line, (a.n - 1) // 2) = left(b.line, (a.n - 1) // 2) or right(a.line, (a.n - 1) // 2) = right(b.line, (a.n - 1) // 2))
-    and levenshtein(a.line, b.line) <= 1
-), kept as (
-  select f.doc_id, f.line_no, f.line from flagged f
-  where not f.long_line
-    or ((f.doc_id, f.line_no) = (select pos from firsts where firsts.line = f.line) and f.line not in (select line from gone))
-)
-select p.doc_id, len(p.lines) as n_lines, len(p.lines) - count(k.line_no) as n_removed,
-  sha256(coalesce(string_agg(k.line, chr(10) order by k.line_no), '')) as kept_sha256
-from parts p left join kept k on p.doc_id = k.doc_id group by p.doc_id, p.lines
-"""
-
-
-@query
-def op6_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Removes every exact repeat of a line that is not blank, and lines of some length within one edit of an earlier one."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = line_dedup.dedup(docs, min_words=1, near_chars=line_dedup.NEAR_CHARS)
-    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
-
-
-ORACLE_SQL["op6_line_dedup_all"] = r"""
 with parts as (
   select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents
 ), numbered as (
   select doc_id, unnest(lines) as line, unnest(range(len(lines))) as line_no from parts
 ), flagged as (
   select *, regexp_matches(line, '[^\x20\x09-\x0D]') as takes_part,
-    length(line) >= 16 or regexp_matches(line, '([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){2}[^\x20\x09-\x0D]') as near_too from numbered
+    length(line) >= 16 as near_too from numbered
 ), firsts as (
   select line, min((doc_id, line_no)) as pos, length(line) as n, any_value(near_too) as near_too from flagged where takes_part group by line
 ), gone as (

@@ -13,7 +13,7 @@ def brute(rows, chars=line_dedup.NEAR_CHARS):
     for i, text in sorted(rows.items()):
         kept = []
         for line in text.split("\n"):
-            long = len(line) >= chars or len(line.split()) >= 3
+            long = len(line) >= chars
             if not line.split() or not any(line == x or long and also and near(line, x) for x, also in seen):
                 kept.append(line)
             if line.split():
@@ -33,7 +33,7 @@ def test_short_lines_against_brute_force(spark):
 
     rows = {i: "\n".join(line() for _ in range(rng.randint(1, 5))) for i in range(60)}
     docs = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
-    found = {r.doc_id: r.text for r in line_dedup.dedup(docs, min_words=1, near_chars=line_dedup.NEAR_CHARS).collect()}
+    found = {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()}
     assert found == brute(rows)
 
 
@@ -46,8 +46,8 @@ def test_stage_drops_repeats_of_short_lines(spark):
 
 def test_query_against_its_sql(spark):
     sf = "/root/testdata/sf0.001"
-    got = __spark_entry__.queries()["op6_line_dedup_all"](spark, sf).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
+    got = __spark_entry__.queries()["op6_line_dedup"](spark, sf).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
     with duckdb.connect() as db:
         db.execute(f"create view documents as from '{sf}/documents.parquet'")
-        want = db.execute(__spark_entry__.oracle_sql()["op6_line_dedup_all"]).fetchall()
+        want = db.execute(__spark_entry__.oracle_sql()["op6_line_dedup"]).fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
