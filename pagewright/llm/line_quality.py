@@ -1,11 +1,16 @@
 """Line-first cleaning: judge every line, drop those that fail, then reject texts that lost too much.
 
-A line is a ``\\n``-separated span.  The rules, each on one line:
+A line is a ``\\n``-separated span.  All rules go by a line's structure, none by its words, and hold for lines of every
+length:
 
 * punctuation: over ``max_symbols`` of ``#*$%&|<>`` a word, or at least half of three or more words end in ``!!``;
-* navigation: a ``|`` for every fourth word, or lines of under eight words made of menu words only;
+* letters: under ``min_letters`` of eight or more characters that are not white space are letters (ASCII letters, or
+  any character beyond ASCII);
 * shouting: at least ``max_upper`` of twenty or more ASCII letters in upper case;
-* boilerplate: an exact repeat of an earlier line of the text, or a phrase of ``BOILERPLATE``.
+* navigation: a separator (``|``, ``>``, ``»``, ``›``, ``·``, ``•``) for every fourth word, a link (``://``, ``www.``,
+  ``](``) for every third word, or a stub: under four words, without a mark of an ended clause behind them, as one of
+  ``menu_lines`` or more such lines in a row, blank lines aside;
+* boilerplate: an exact repeat of an earlier line of the text, or a ``©``.
 
 Before that the base rules look at the whole text: too few words, or too many words inside repeated 5-word windows.
 """
@@ -24,11 +29,10 @@ from pagewright.llm import bytewise as bw
 
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[list(b"#*$%&|<>")] = 1
-MENU = tuple(b"home about contact login register search menu sitemap next previous share".split())
-BOILERPLATE = (
-    b"all rights reserved", b"terms of service", b"privacy policy", b"accept cookies",
-    b"click here", b"subscribe to our", b"enable javascript",
-)
+#: What separates entries of a menu, what begins a link, what ends a clause.
+SEPARATORS = ("|", ">", "»", "›", "·", "•")
+LINKS = ("://", "www.", "](")
+ENDS = (".", "!", "?", ";", ":", ",", "…", "。", "！", "？", "；", "：", "，")
 WINDOW = 5
 COLUMNS = {
     "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint",
@@ -42,6 +46,8 @@ class Rules:
     max_repeat_percent: int = 20
     max_symbols: float = 0.3
     max_upper: float = 0.7
+    min_letters: float = 0.5
+    menu_lines: int = 3
     max_lost: float = 0.5
 
 
@@ -63,7 +69,22 @@ def _repeated(w: bw.Words, hashes: np.ndarray) -> np.ndarray:
     return np.cumsum(hit[:n]) > 0
 
 
-def _measure(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> tuple[list, list[bytes]]:
+def _places(data: np.ndarray, offsets: np.ndarray, marks: tuple[str, ...], ends: bool = False) -> np.ndarray:
+    """1 at the first byte (or the last) of every mark that lies in one text."""
+    found = np.zeros(len(data), np.int64)
+    for mark in marks:
+        code = mark.encode()
+        last = len(code) - 1
+        at = np.flatnonzero(data[: max(len(data) - last, 0)] == code[0])
+        for k in range(1, last + 1):
+            at = at[data[at + k] == code[k]]
+        if last:
+            at = at[np.searchsorted(offsets, at, side="right") == np.searchsorted(offsets, at + last, side="right")]
+        found[at + (last if ends else 0)] = 1
+    return found
+
+
+def _measure(data: np.ndarray, offsets: np.ndarray, rules: Rules, with_text: bool = True) -> tuple[list, list[bytes]]:
     n = len(offsets) - 1
     w = bw.words(data, offsets)
     n_words = np.diff(w.first)
@@ -105,25 +126,29 @@ def _measure(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> tuple[list,
     loud = ended[words_at[1]] - ended[words_at[0]]
     bad = of_lines(symbols) > rules.max_symbols * line_words
     bad |= (line_words >= 3) & (2 * loud >= line_words)
-    bad |= 4 * of_lines(data == 124) >= np.maximum(line_words, 1)
     bad |= (letters >= 20) & (upper >= rules.max_upper * letters)
     bad &= some
     bad |= repeat
-    raw = data.tobytes()
-    low = raw.lower()
-    for phrase in BOILERPLATE:
-        at = low.find(phrase)
-        while at >= 0:
-            i = np.searchsorted(begins, at, side="right") - 1
-            bad[i] |= at + len(phrase) <= ends[i]  # else it runs into the next text
-            at = low.find(phrase, at + 1)
-    for i in np.flatnonzero((line_words > 0) & (line_words < 8) & ~bad):
-        bad[i] = all(p.strip(b".,:>-") in MENU for p in low[begins[i] : ends[i]].split())
+    separators, links, rights = (of_lines(_places(data, offsets, marks)) for marks in (SEPARATORS, LINKS, ("©",)))
+    bad |= some & ((4 * separators >= np.maximum(line_words, 1)) | (3 * links >= np.maximum(line_words, 1)) | (rights > 0))
+    solid = of_lines(in_word & ((data & 0xC0) != 0x80))
+    letters = of_lines(((data | 32) >= 97) & ((data | 32) <= 122) & (data < 128) | (data >= 0xC0))
+    bad |= (solid >= 8) & (letters < rules.min_letters * solid)
+    ended = np.zeros(len(begins), bool)
+    closing = _places(data, offsets, ENDS, ends=True)
+    ended[some] = closing[w.ends[words_at[1][some] - 1] - 1] > 0
+    stub = some & (line_words < 4) & ~ended
+    full = np.flatnonzero(some)  # blank lines do not break a run, another text does
+    if len(full):
+        kind = stub[full]
+        new = np.concatenate([[True], (kind[1:] != kind[:-1]) | (line_doc[full][1:] != line_doc[full][:-1])])
+        run = np.cumsum(new) - 1
+        bad[full] |= kind & (np.bincount(run)[run] >= rules.menu_lines)
     lost = bw.per_doc(np.where(bad, line_words, 0), line_first)
     base = (n_words < rules.min_words) | (100 * n_repeat > rules.max_repeat_percent * n_words)
     kept = ~base & (lost <= rules.max_lost * n_words)
-    texts = []
-    for d in range(n):
+    raw, texts = data.tobytes(), []
+    for d in range(n if with_text else 0):
         lines = range(line_first[d], line_first[d + 1])
         texts.append(b"\n".join(raw[begins[i] : ends[i]] for i in lines if not bad[i]))
     numbers = [n_words, word_chars, n_symbols, n_dup, n_repeat, base, np.diff(line_first), bw.per_doc(bad, line_first), lost, kept]
@@ -134,7 +159,8 @@ def clean(df: DataFrame, column: str = "text", rules: Rules | None = None, with_
     """Adds the measures, the verdict ``kept`` and, with ``with_text``, the remaining lines as ``clean_text``.
 
     Null counts as the empty text: no words, base rules failed.  Rows are judged one by one, so repeated rows get the
-    same verdict and an empty table gives an empty one.  Input columns with the names of added ones are replaced.
+    same verdict and an empty table gives an empty one.  Input columns with the names of added ones are replaced;
+    ``__source__`` is a name of the operator's own.
     """
     rules = rules or Rules()
     made = {k: v for k, v in COLUMNS.items() if with_text or k != "clean_text"}
@@ -145,7 +171,7 @@ def clean(df: DataFrame, column: str = "text", rules: Rules | None = None, with_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in bw.blocks(batch.column(source)):
-                numbers, texts = _measure(data, offsets, rules)
+                numbers, texts = _measure(data, offsets, rules, with_text)
                 columns = [*batch.select(keep).slice(first, last - first).columns, *[pa.array(x) for x in numbers]]
                 if with_text:
                     columns.append(pa.array(texts, pa.binary()).cast(pa.string()))
