@@ -5,8 +5,8 @@ bytes, so equal strings hold equal anchors at equal places.  Each anchor travels
 the bytes of the strings that chose it.  Equal contexts collapse to the earliest; of an anchor with several
 contexts those earliest ones send their bytes.  Their suffixes are ordered by deep-shallow sorting: multikey
 quicksort, eight bytes a step, to a shallow depth, then a blind trie for each group that still agrees.  The tries keep
-branching places alone and grow together, a level at a time.  Their leaves are equal strings; all but the earliest are
-covered.
+branching places alone and grow together, a level at a time.  Equal strings are neighbours in the suffix order; all but
+the earliest are covered.
 
 An anchor with very many contexts sends single strings dealt by their own hash, so no group meets in one task.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import bytewise as bw
+from pagewright.llm.mixing import numbered
 from pagewright.llm.store import stored
 
 LENGTH = 100
@@ -36,6 +37,8 @@ SORT_BYTES = 4 << 20
 SEND_BYTES = 16 << 20
 #: A place and the bytes of its context before and after it, in one number.
 SPAN_BITS = 12
+#: Bytes of texts for which a range of anchors' hashes is kept apart, so a range does not grow with the input.
+PART_BYTES = 32 << 20
 _DONE = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 _SPREAD = "kind int, part int, doc_id bigint, text binary, spans binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
@@ -248,53 +251,95 @@ def _heads(group: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
 
 
-def blind_tries(words: np.ndarray, data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int, length: int) -> np.ndarray:
-    """Numbers from 0 of the leaves under a trie for each group of strings, which agree to ``depth``.
+def _dealt(live: np.ndarray, start: np.ndarray, kind: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """One stable step of a partition sort: every group by its members' small ``kind``; returns the new order and starts.
 
-    A node keeps its branching place alone, where a member first differs from the node's first.  All nodes of a level
-    are split at once; a node without such a place is a leaf.
+    Members of a group stand together, in the order of their group's start in the suffix order.
     """
-    leaf = np.zeros(len(starts), np.int64)
-    live, deep, made = np.argsort(group, kind="stable"), np.full(len(starts), depth), 0
-    node = group[live]
+    heads = _heads(start)
+    size = np.diff(np.append(heads, len(live)))
+    head = np.repeat(heads, size)
+    to, begin = np.empty(len(live), np.int64), head.copy()
+    for k in range(kinds):
+        own = kind == k
+        before = np.cumsum(own)
+        rank = before - own - (before[head] - own[head])
+        to[own] = (begin + rank)[own]
+        begin += np.repeat(np.add.reduceat(own.astype(np.int64), heads), size)
+    order = np.empty(len(live), np.int64)
+    order[to] = np.arange(len(live))
+    kind, start, head = kind[order], start[order], head[order]
+    new = np.flatnonzero(np.concatenate([[True], (start[1:] != start[:-1]) | (kind[1:] != kind[:-1])]))
+    return order, np.repeat(start[new] + new - head[new], np.diff(np.append(new, len(live))))
+
+
+def multikey_quicksort(words: np.ndarray, starts: np.ndarray, length: int, shallow: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ternary quicksort of all groups at once, eight bytes a step, to the shallow depth.
+
+    Returns the start of each string's group in the suffix order, the strings whose groups still agree, and to what
+    depth.  A group's pivot is the word of its middle member; those that equal it go on with the next word.
+    """
+    place = np.zeros(len(starts), np.int64)
+    live, start, deep = np.arange(len(starts)), place.copy(), np.zeros(len(starts), np.int64)
+    agree: list[np.ndarray] = []
+    while len(live):
+        heads = _heads(start)
+        size = np.diff(np.append(heads, len(live)))
+        word = words[starts[live] + deep].astype(np.uint64)
+        pivot = np.repeat(word[heads + size // 2], size)
+        kind = (word >= pivot).astype(np.int8) + (word > pivot)
+        order, start = _dealt(live, start, kind, 3)
+        live, deep = live[order], deep[order] + 8 * (kind[order] == 1)
+        place[live] = start
+        alone = np.bincount(np.cumsum(np.concatenate([[True], start[1:] != start[:-1]])) - 1)
+        alone = np.repeat(alone == 1, alone)
+        ended = (deep + 8 > min(shallow, length)) & ~alone
+        agree.append(live[ended])
+        live, start, deep = (x[~alone & ~ended] for x in (live, start, deep))
+    left = np.concatenate([np.zeros(0, np.int64), *agree])
+    return place, left, np.full(len(left), min(shallow, length) // 8 * 8)
+
+
+def blind_tries(words: np.ndarray, data: np.ndarray, starts: np.ndarray, start: np.ndarray, deep: np.ndarray, length: int) -> np.ndarray:
+    """The start in the suffix order of each leaf under a trie for each group of strings that agree to ``deep``.
+
+    A node keeps its branching place alone, where a member first differs from the node's first, and its children are
+    dealt by that byte.  All nodes of a level are split at once; a node without such a place is a leaf of equal strings.
+    """
+    place = start.copy()
+    live = np.argsort(start, kind="stable")
+    start, deep = start[live], deep[live]
     while len(live):
-        heads = _heads(node)
+        heads = _heads(start)
         size = np.diff(np.append(heads, len(live)))
-        place = _first_difference(words, starts[live], starts[np.repeat(live[heads], size)], deep, length)
-        branch = np.repeat(np.minimum.reduceat(place, heads), size)
-        order_of = np.repeat(np.arange(len(heads)), size)
-        ended = branch == length
-        leaf[live[ended]] = made + order_of[ended]
-        made += len(heads)
-        live, branch, order_of = live[~ended], branch[~ended], order_of[~ended]
-        key = order_of * 256 + data[starts[live] + branch]
-        order = np.argsort(key, kind="stable")
-        live, deep, node = live[order], branch[order] + 1, key[order]
-    return leaf
+        differ = _first_difference(words, starts[live], starts[np.repeat(live[heads], size)], deep, length)
+        branch = np.repeat(np.minimum.reduceat(differ, heads), size)
+        place[live] = start
+        on = branch < length
+        live, start, branch = live[on], start[on], branch[on]
+        byte = data[starts[live] + branch]
+        order = np.lexsort((byte, start))
+        group = start
+        live, deep, byte = live[order], branch[order] + 1, byte[order]
+        head = np.searchsorted(group, group)
+        new = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (byte[1:] != byte[:-1])])[: len(live)])
+        start = np.repeat(group[new] + new - head[new], np.diff(np.append(new, len(live))))
+    return place
 
 
 def deep_shallow(buffer: bytes, starts: np.ndarray, length: int, shallow: int = SHALLOW) -> np.ndarray:
-    """A number for each of the ``length``-byte strings (8 bytes or more) at ``starts``; equal strings get equal numbers."""
+    """The place in sorted order of each of the ``length``-byte strings (8 bytes or more) at ``starts``.
+
+    Equal strings share the place of their first; a stable sort by place is the suffix order.
+    """
     data = np.frombuffer(buffer, np.uint8)
     if not len(starts):
         return np.zeros(0, np.int64)
     words = np.ndarray((len(data) - 7,), ">u8", buffer, strides=(1,))  # the eight bytes from every byte on
-    group = np.zeros(len(starts), np.int64)
-    live, depth, top = np.arange(len(starts)), 0, 1
-    while depth + 8 <= min(shallow, length) and len(live):
-        word = words[starts[live] + depth].astype(np.uint64)
-        order = np.argsort(word) if not depth else np.lexsort((word, group[live]))
-        live, word = live[order], word[order]
-        old = group[live]
-        new = np.concatenate([[True], (old[1:] != old[:-1]) | (word[1:] != word[:-1])])
-        number = np.cumsum(new)
-        group[live] = top + number
-        top += int(number[-1]) + 1
-        live = live[(np.bincount(number) > 1)[number]]
-        depth += 8
-    if len(live):
-        group[live] = top + blind_tries(words, data, starts[live], group[live], depth, length)
-    return group
+    place, left, deep = multikey_quicksort(words, starts, length, max(shallow, 8))
+    if len(left):
+        place[left] = blind_tries(words, data, starts[left], place[left], deep, length)
+    return place
 
 
 def _covered(head: np.ndarray, base: np.ndarray, buffer: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -305,7 +350,7 @@ def _covered(head: np.ndarray, base: np.ndarray, buffer: bytes, length: int) ->
     group = deep_shallow(buffer, base[which] + step, length)
     again = np.flatnonzero(np.bincount(group)[group] > 1)
     group, own, at = group[again], head[which[again], 0], head[which[again], 1] + step[again]
-    order = np.lexsort((at, own, group))
+    order = np.lexsort((at, own, group))  # in suffix order, equal strings by their place in the input
     group, own, at = group[order], own[order], at[order]
     if not len(group):
         return (np.zeros(0, np.int64),) * 3
@@ -357,17 +402,35 @@ def dedup(df: DataFrame, column: str = "text", length: int = LENGTH, gram: int =
     """Returns doc_id (integer), n_bytes, n_removed, n_spans, kept_sha256 and, with ``with_text``, the bytes ``kept``.
 
     Texts count as UTF-8 bytes; null is empty.  Earlier means a smaller doc_id, or the same and an earlier start; null
-    ids come first.  Rows that repeat an id are one document, so equal ones do not remove each other.  An empty table
-    gives an empty one.
+    ids come first.  Rows that share an id but not the text are ordered by a hash of the text; equal rows (with one id
+    and one text) are one document, so they do not remove each other and all get its result.  An empty table gives an
+    empty one.
     """
     if not 8 <= length < 1 << SPAN_BITS or not 1 <= gram <= length:
         raise ValueError("strings have 8 to 4095 bytes, and hold a gram")
-    spark = df.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(f"`{column}`").cast("binary").alias("text"))
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n"), F.min("doc_id")).first()
+    if (ids[0] or 0) < 2 and ids[1] != NO_ID:
+        return _removed(docs, length, gram, with_text, crowd)
+    # Ids that do not tell all rows apart: the numbers of (id, text) in their order stand for them.
+    twin = F.xxhash64(F.coalesce("text", F.lit(b"")))
+    named = stored(docs.withColumn("twin", twin).select("doc_id", "twin").distinct().repartitionByRange("doc_id", "twin").sortWithinPartitions("doc_id", "twin"), "ids")
+    named = stored(numbered(named), "numbers").select(F.col("doc_id").alias("named"), F.col("twin").alias("named_twin"), "position")
+    numbers = docs.withColumn("twin", twin).join(named, F.col("doc_id").eqNullSafe(F.col("named")) & (F.col("twin") == F.col("named_twin")))
+    done = _removed(numbers.select(F.col("position").alias("doc_id"), "text"), length, gram, with_text, crowd)
+    back = named.select("position", F.col("named").alias("id"))
+    return done.join(back, F.col("doc_id") == F.col("position")).select(F.col("id").alias("doc_id"), *done.columns[1:])
+
+
+def _removed(docs: DataFrame, length: int, gram: int, with_text: bool, crowd: int) -> DataFrame:
+    """``dedup`` of documents with different ids, at most one of them null."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(4 * tasks, -(-size // PART_BYTES))
+    tasks = max(tasks, parts // 4)
     found = docs.mapInArrow(_found(parts, length, gram), _FOUND_SQL)
     found = stored(found, "anchors")
-    solved = found.where("part is not null").repartition("part").mapInArrow(_resolved(crowd), _FOUND_SQL)
+    solved = found.where("part is not null").repartition(tasks, "part").mapInArrow(_resolved(crowd), _FOUND_SQL)
     places = found.where("part is null").unionByName(solved).groupBy("doc_id").agg(
         *[F.collect_set(F.when(F.col("kind") == k, F.col("at"))).alias(n) for n, k in (("full", FULL), ("edge", EDGE), ("single", SINGLE))]
     )

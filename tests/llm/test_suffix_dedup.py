@@ -65,3 +65,24 @@ def test_deep_shallow_sorting():
     for i in range(0, len(starts), 7):
         for j in range(i, len(starts), 11):
             assert (group[i] == group[j]) == (text[i : i + 40] == text[j : j + 40])
+
+
+def test_places_are_the_suffix_order():
+    rng = random.Random(4)
+    text = b"".join(rng.choice([b"abracadabra", b"\x00\xff", b"aaaaaaaaaaaaaaaa", b"z"]) for _ in range(150)) * 2
+    starts = np.array(rng.sample(range(len(text) - 40), 600))
+    for length, shallow in ((40, 24), (40, 8), (33, 40), (8, 24)):
+        place = sd.deep_shallow(text, starts, length, shallow)
+        strings = [text[i : i + length] for i in starts]
+        assert [strings[i] for i in np.argsort(place, kind="stable")] == sorted(strings)
+        assert place.tolist() == [sorted(strings).index(x) for x in strings]
+
+
+def test_rows_that_share_an_id(spark):
+    a, b, c = "".join(map(str, range(100))), "x" * 40 + "y" * 160, "unlike " * 30
+    docs = spark.createDataFrame([(1, a), (2, a), (2, c), (2, b), (None, b), (None, "n"), (2, c)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.n_bytes): (r.n_removed, bytes(r.kept).decode()) for r in sd.dedup(docs).collect()}
+    assert got[1, len(a)] == (0, a) and got[2, len(a)] == (len(a), "")
+    assert got[None, 1] == (0, "n") and got[2, len(b)] == (len(b), "")
+    alone = sd.dedup(spark.createDataFrame([(2, c)], "doc_id bigint, text string")).first()
+    assert got[2, len(c)] == (alone.n_removed, bytes(alone.kept).decode()) and len(got) == 6
