@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.store import small, stored
+from pagewright.llm.store import dropped, small, stored
 
 SEED = 42
 RING = 16
@@ -230,7 +230,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(moved.union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, edges = edges, stored(moved.union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        dropped(last)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

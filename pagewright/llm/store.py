@@ -26,7 +26,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagewright/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()  # Spark deletes the shuffle files of what is written now once the driver has let go of its plan
+    found = spark.read.schema(df.schema).parquet(path)
+    found._pagewright_path = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes stored tables from which everything that is needed has been stored."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._pagewright_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small(df: DataFrame, row_bytes: int, most: int = 64 << 20) -> bool:
