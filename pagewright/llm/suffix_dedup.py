@@ -427,10 +427,9 @@ def _removed(docs: DataFrame, length: int, gram: int, with_text: bool, crowd: in
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(4 * tasks, -(-size // PART_BYTES))
-    tasks = max(tasks, parts // 4)
     found = docs.mapInArrow(_found(parts, length, gram), _FOUND_SQL)
     found = stored(found, "anchors")
-    solved = found.where("part is not null").repartition(tasks, "part").mapInArrow(_resolved(crowd), _FOUND_SQL)
+    solved = found.where("part is not null").repartition(parts, "part").mapInArrow(_resolved(crowd), _FOUND_SQL)
     places = found.where("part is null").unionByName(solved).groupBy("doc_id").agg(
         *[F.collect_set(F.when(F.col("kind") == k, F.col("at"))).alias(n) for n, k in (("full", FULL), ("edge", EDGE), ("single", SINGLE))]
     )

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.store import stored
+from pagewright.llm.store import dropped, stored
 
 MANY_CHILDREN, RARE = 20, 3.0
 #: Standard errors from which branches differ; low, as a wrong merge costs more than two branches for one.
@@ -96,12 +96,14 @@ def _grown(paths: DataFrame) -> DataFrame:
     """All paths with their templates, level by level; ``paths`` has host, segs, n, bad and good."""
     paths, done, d = stored(paths.withColumn("template", F.lit("")), "paths"), [], 0
     while True:
+        last = paths
         alone = paths.groupBy("host", "template").agg(F.count("*").alias("mates"))
         paths = paths.join(alone, ["host", "template"]).withColumn("left", F.greatest(F.size("segs") - d, F.lit(0)))
         rest = F.array_join(F.slice("segs", F.lit(d + 1), F.col("left")), "/")
         whole = F.when(F.col("left") > 0, F.concat_ws("/", "template", rest)).otherwise(F.col("template"))
         ends = (F.col("mates") == 1) | (F.col("left") == 0)
         paths = stored(paths.select("host", "segs", "n", "bad", "good", F.when(ends, whole).otherwise(F.col("template")).alias("template"), ends.alias("ends")), "paths")
+        dropped(last)
         done.append(paths.where("ends").drop("ends"))
         paths = paths.where("not ends").drop("ends")
         if paths.isEmpty():
