@@ -433,10 +433,10 @@ def _removed(docs: DataFrame, length: int, gram: int, with_text: bool, crowd: in
     places = found.where("part is null").unionByName(solved).groupBy("doc_id").agg(
         *[F.collect_set(F.when(F.col("kind") == k, F.col("at"))).alias(n) for n, k in (("full", FULL), ("edge", EDGE), ("single", SINGLE))]
     )
-    places = places.withColumnRenamed("doc_id", "own")
+    places = stored(places.withColumnRenamed("doc_id", "own"), "places")
+    dropped(found)
     joined = docs.join(places, F.coalesce(docs.doc_id, F.lit(NO_ID)) == places.own, "left").drop("own")
     spread = stored(joined.mapInArrow(_spread(parts, length, gram, with_text), _SPREAD), "spread")
-    dropped(found)
     covered = spread.where(F.col("kind") == SENT).select("part", "text", "spans").groupBy("part").applyInArrow(_compared(length), "doc_id bigint, a bigint, b bigint")
     local = spread.where(F.col("kind") == SINGLE).select("doc_id", F.col("n_bytes").alias("a"), F.col("n_removed").alias("b"))
     more = covered.unionByName(local).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("more")).withColumnRenamed("doc_id", "own")
