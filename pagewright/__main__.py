@@ -4,31 +4,21 @@ from __future__ import annotations
 
 import argparse
 import sys
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import document
 from pagewright.operators import assembly
-from pagewright.sources import files, ooxml
+from pagewright.sources import files
 
 
 def documents(found: DataFrame) -> DataFrame:
-    """(path, doc) of files with a path, content and format; formats that cannot be assembled are left out."""
-    numbered = found.withColumn("doc_id", F.xxhash64("path"))
-    parts = []
-    word = {f: (lambda rows, f=f: assembly.written(rows, f)) for f in ("docx", "hwpx")}
-    for format, assemble in ({"pptx": assembly.presentations, "xlsx": assembly.workbooks} | word).items():
-        own = numbered.where(F.col("format") == format)
-        docs = assemble(ooxml.elements(own, format)).withColumn("doc", F.col("doc").withField("filename", F.lit("")))
-        parts.append(own.select("doc_id", "path").join(docs, "doc_id").select("path", "doc"))
-    whole = F.col("content").cast("string")
-    text = F.when(F.is_valid_utf8(whole), whole).otherwise(F.decode("content", "ISO-8859-1"))
-    plain = numbered.where(F.col("format").isin("txt", "md"))
-    parts.append(plain.select("path", document.document(format=F.col("format"), text=text).alias("doc")))
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    return reduce(DataFrame.unionByName, parts).withColumn("doc", F.col("doc").withField("filename", name))
+    """(path, doc) of files with a path, content and format; those of other formats, or that cannot be read, are left out."""
+    own = found.where(F.col("format").isin(files.FORMATS)).withColumn("doc_id", F.xxhash64("path"))
+    made = assembly.documents(own, F.col("path")).where("doc is not null")
+    path = F.col("doc")["filename"]
+    return made.select(path.alias("path"), F.col("doc").withField("filename", F.regexp_extract(path, r"([^/]*)$", 1)).alias("doc"))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -39,12 +29,18 @@ def main(argv: list[str] | None = None) -> int:
     for names in (("--markdown", "--md"), ("--json", "-j"), ("--info", "-i")):
         shape.add_argument(*names, action="store_true")
     parser.add_argument("--include-images", action="store_true")
+    parser.add_argument("--tables", action="store_true", help="the tables alone")
+    parser.add_argument("--page", "-p", type=int, help="one page's text, from 0; documents without pages show all")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     docs = documents(files.read_files(spark, args.path))
     doc = F.col("doc")
     if args.info:
         shown = F.to_json(F.struct(doc["filename"], doc["format"], doc["page_count"], doc["title"], doc["author"], F.size(doc["tables"]), F.size(doc["images"])))
+    elif args.tables:
+        shown = F.array_join(F.transform(doc["tables"], lambda t: t["markdown"]), "\n\n")
+    elif args.page is not None:
+        shown = F.coalesce(F.get(doc["pages"], F.lit(args.page))["text"], F.when(F.size(doc["pages"]) == 0, doc["text"]), F.lit(""))
     elif args.markdown:
         shown = document.to_markdown(doc, args.include_images)
     else:

@@ -6,6 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def lines(text: Column) -> Column:
+    """The lines of a text at every kind of line end; an end behind the last line begins no other."""
+    parts = F.split(text, r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]", -1)
+    return F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
+def markdown_document(text: Column) -> Column:
+    """Content, lines, headings, code, links and images of a Markdown text."""
+    return F.struct(text.alias("content"), lines(text).alias("lines"), headings(text).alias("headings"), code_blocks(text).alias("code_blocks"), links(text).alias("links"), images(text).alias("images"))
+
+
 def _matches(text: Column, pattern: str, names: tuple[str, ...]) -> Column:
     groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)) for i in range(len(names))]
     return F.arrays_zip(*[g.alias(n) for g, n in zip(groups, names, strict=True)])

@@ -11,25 +11,25 @@ from pyspark.sql import functions as F
 PAGE = ["doc_id", "page"]
 
 
-def anchor_groups(values: Column, tolerance: float) -> Column:
-    """Sorted numbers to arrays that lie within ``tolerance`` of their first (the anchor fold of P17, D11, D14)."""
-    empty = F.array().cast("array<array<double>>")
-    return F.aggregate(
-        values, empty,
-        lambda groups, y: F.when(
-            (F.size(groups) > 0) & (y - F.get(F.element_at(groups, -1), F.lit(0)) <= tolerance),
-            F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(F.concat(F.element_at(groups, -1), F.array(y)))),
-        ).otherwise(F.concat(groups, F.array(F.array(y)))),
-    )
+def anchors(values: Column, tolerance: float) -> Column:
+    """The firsts of sorted numbers' groups, each with all that lies within ``tolerance`` of its first."""
+    empty = F.array().cast("array<double>")
+    new = lambda found, y: (F.size(found) == 0) | (y - F.get(found, F.size(found) - 1) > tolerance)
+    return F.aggregate(values, empty, lambda found, y: F.when(new(found, y), F.concat(found, F.array(y))).otherwise(found))
 
 
 def lines(items: DataFrame, tolerance: float = 5.0) -> DataFrame:
-    """Text lines of each page (P17): items within ``tolerance`` of a line's first, left to right, joined by blanks."""
-    pages = items.groupBy(*PAGE).agg(F.sort_array(F.collect_set("y")).alias("ys"))
-    groups = pages.select(*PAGE, F.posexplode(anchor_groups(F.col("ys"), tolerance)).alias("line", "members"))
-    own = groups.select(*PAGE, "line", F.explode("members").alias("y"))
+    """Text lines of each page (P17): items within ``tolerance`` of a line's first, left to right, joined by blanks.
+
+    One shuffle: a page's items meet once, and its lines are grouped where they are.
+    """
+    own = F.struct("y", "x", "seq", "text")
+    held = items.groupBy(*PAGE).agg(F.collect_list(own).alias("items"))
+    found = held.withColumn("anchors", anchors(F.array_sort(F.array_distinct(F.transform("items", lambda i: i["y"]))), tolerance))
+    line = lambda i: F.size(F.filter("anchors", lambda a: a <= i["y"])) - 1
+    placed = found.select(*PAGE, F.inline(F.transform("items", lambda i: F.struct(line(i).alias("line"), i["y"].alias("y"), i["x"].alias("x"), i["seq"].alias("seq"), i["text"].alias("text")))))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "seq", "text"))), lambda i: i["text"]), " ")
-    return items.join(own, [*PAGE, "y"]).groupBy(*PAGE, "line").agg(F.min("y").alias("y"), text.alias("text"))
+    return placed.groupBy(*PAGE, "line").agg(F.min("y").alias("y"), text.alias("text"))
 
 
 def clusters(values: DataFrame, tolerance: float = 4.0, least: int = 2) -> DataFrame:
@@ -49,17 +49,18 @@ def merged_intervals(spans: DataFrame, gap: float = 0.0) -> DataFrame:
 
 
 def grid_cells(rulings: DataFrame, items: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """Items in the cells between successive rulings (D9): (doc_id, page, row, col, text)."""
-    def bands(orient: str, name: str) -> DataFrame:
-        by = Window.partitionBy(*PAGE).orderBy("pos")
-        own = rulings.where(F.col("orient") == orient).select(*PAGE, "pos").distinct()
-        own = own.select(*PAGE, (F.row_number().over(by) - 1).alias(name), F.col("pos").alias(f"{name}_lo"), F.lead("pos").over(by).alias(f"{name}_hi"))
-        return own.where(F.col(f"{name}_hi").isNotNull())
-
-    cells = bands("h", "row").join(bands("v", "col"), PAGE)
-    inside = (F.col("x") >= F.col("col_lo") - tolerance) & (F.col("x") < F.col("col_hi")) & (F.col("y") >= F.col("row_lo") - tolerance) & (F.col("y") < F.col("row_hi"))
+    """Items in the cells between successive rulings (D9): (doc_id, page, row, col, text).
+
+    An item goes to the cell whose rulings lie at most ``tolerance`` behind it; rows and columns are looked up in the
+    page's sorted rulings, so a page's items never meet its cells as a product.
+    """
+    places = lambda orient: F.array_sort(F.collect_set(F.when(F.col("orient") == orient, F.col("pos")))).alias(orient)
+    bounds = rulings.groupBy(*PAGE).agg(places("h"), places("v"))
+    at = lambda name, value: F.size(F.filter(name, lambda p: p - tolerance <= F.col(value))) - 1
+    placed = items.join(bounds, PAGE).withColumn("row", at("h", "y")).withColumn("col", at("v", "x"))
+    inside = (F.col("row").between(0, F.size("h") - 2)) & (F.col("col").between(0, F.size("v") - 2))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "seq", "text"))), lambda i: i["text"]), " ")
-    return cells.join(items, PAGE).where(inside).groupBy(*PAGE, "row", "col").agg(text.alias("text"))
+    return placed.where(inside).groupBy(*PAGE, "row", "col").agg(text.alias("text"))
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions import document, render, textops
+from pagewright.functions import document, encodings, render, textops
 from pagewright.operators import assembly, layout
 from pagewright.sources import compound, files, ooxml, pdf
 
@@ -147,18 +147,24 @@ def control_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""select doc_id, i as line_no, line from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents)""")
+@query("""select doc_id, i as line_no, line from (select doc_id, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as i
+  from (select doc_id, regexp_replace(text, chr(10) || '$', '') as t from documents where text <> ''))""")
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of every document."""
-    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    """The lines of every document, their ends written in four ways."""
+    ends = F.element_at(F.array(*[F.lit(x) for x in ("\n", "\r\n", "\r", "\u2028")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), ends).alias("text"))
+    return docs.select("doc_id", F.posexplode(textops.lines(F.col("text"))).alias("line_no", "line"))
 
 
-@query("""select p_partkey, case p_partkey % 4 when 0 then 'pdf' when 1 then 'ole2' when 2 then 'txt' else 'txt' end as format from part""")
+@query("""select p_partkey, ['pdf', 'docx', 'pptx', 'xlsx', 'hwpx', 'doc', 'ppt', 'hwp', 'txt', 'txt'][p_partkey % 10 + 1] as format from part""")
 def format_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E2 over composed heads."""
-    kind = F.col("p_partkey") % 4
-    head = F.when(kind == 0, F.unhex(F.lit("255044462D312E34"))).when(kind == 1, F.unhex(F.lit("D0CF11E0A1B11AE1"))).when(kind == 2, F.unhex(F.lit("504B0304"))).otherwise(F.encode("p_name", "UTF-8"))
-    return _table(spark, sf_dir, "part").select("p_partkey", files.sniff(head).alias("format"))
+    """Files of every kind by their bytes, a broken ZIP and plain text among them."""
+    made = [
+        pdf.write([[]]), ooxml.write_docx([("", "x")]), ooxml.write_pptx([("a", "b")]), ooxml.write_xlsx({"s": [["x"]]}), ooxml.write_hwpx(["x"]), compound.write_doc(["x"]),
+        compound.write({"PowerPoint Document": b"x"}), compound.write_hwp(["x"]), b"PK\x03\x04 broken", b"plain",
+    ]
+    content = F.element_at(F.array(*[F.lit(bytearray(x)) for x in made]), (F.col("p_partkey") % 10 + 1).cast("int"))
+    return _table(spark, sf_dir, "part").select("p_partkey", files.sniff(content).alias("format"))
 
 
 def _files(source: DataFrame, key: str, make) -> DataFrame:
@@ -204,11 +210,19 @@ def hwpx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("kind = 'paragraph'").select("doc_id", F.col("row").alias("seq"), "text")
 
 
-@query("""select conv_id, turn, text from (select *, row_number() over (partition by conv_id, trim(role) order by turn) as k from conversations) where k = 1""")
-def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of each conversation's turns by role stays."""
-    by = Window.partitionBy("conv_id", F.trim("role")).orderBy("turn")
-    return _table(spark, sf_dir, "conversations").withColumn("k", F.row_number().over(by)).where("k = 1").select("conv_id", "turn", "text")
+@query("""with t as (select conv_id, turn, text, row_number() over (partition by conv_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) order by turn) as k from conversations)
+select conv_id as doc_id, string_agg(case when turn % 3 = 0 then '## ' else '' end || text, chr(10) || chr(10) order by turn) as text, 'conversation ' || conv_id as title
+from t where k = 1 and trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' group by conv_id""")
+def hwpx_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated paragraphs go, levels make headings, metadata is read."""
+
+    def make(p: pd.DataFrame) -> bytes:
+        rows = p.sort_values("turn")
+        twice = [(r.text, 2 if r.turn % 3 == 0 else 0) for r in rows.itertuples()]
+        return ooxml.write_hwpx(twice + [(t, 0) for t, _ in twice], {"title": f"conversation {rows.conv_id.iloc[0]}"})
+
+    made = _files(_table(spark, sf_dir, "conversations"), "conv_id", make).withColumn("format", F.lit("hwpx"))
+    return assembly.documents(made).selectExpr("doc_id", "doc.text as text", "doc.title as title").where("text <> ''")
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,9 +258,18 @@ def x_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.clusters(_items(spark, sf_dir).select("doc_id", "page", F.col("x").alias("v")))
 
 
-@query()
+@query("""with recursive items as (select l_orderkey % 50 as doc_id, l_orderkey as page, l_linenumber, l_partkey, (l_partkey % 100)::double as x, (l_suppkey % 60)::double as y, l_returnflag as text from lineitem),
+ys as (select distinct doc_id, page, y from items),
+anchors as (select doc_id, page, 0 as line, min(y) as a from ys group by doc_id, page
+  union all select s.doc_id, s.page, s.line + 1, s.a from (
+    select t.doc_id, t.page, t.line, (select min(y) from ys where ys.doc_id = t.doc_id and ys.page = t.page and ys.y > t.a + 5) as a from anchors t) s where s.a is not null),
+placed as (select i.*, n.line, row_number() over (partition by i.doc_id, i.page, i.l_linenumber, i.l_partkey, i.x, i.y, i.text order by n.line desc) as latest
+  from (select *, row_number() over () as id from items) i join anchors n on i.doc_id = n.doc_id and i.page = n.page and n.a <= i.y),
+own as (select doc_id, page, id, max(line) as line from placed group by doc_id, page, id)
+select p.doc_id, p.page, p.line, min(p.y) as y, string_agg(p.text, ' ' order by p.x, p.l_linenumber, p.l_partkey, p.text) as text
+from placed p join own o on p.id = o.id and p.line = o.line group by p.doc_id, p.page, p.line""")
 def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The anchor fold, tested against a loop."""
+    """The anchor fold."""
     return layout.lines(_items(spark, sf_dir))
 
 
@@ -261,38 +284,34 @@ def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page", "col", "row", F.size(F.split("text", " ")).cast("bigint").alias("n"))
 
 
-@query("""with b as (select l_orderkey % 50 as doc_id, l_orderkey as page, l_linenumber as seq, l_partkey % 3 as col, l_suppkey % 60 as y from lineitem where l_linenumber > 0),
-f as (select *, 2 * sum((col = 0)::int) over (partition by doc_id, page order by y, seq, col rows unbounded preceding) - (col = 0)::int as band from b)
-select doc_id, page, seq, col, y, row_number() over (partition by doc_id, page order by band, col, y, seq) as place from f
-where (page, seq) in (select page, seq from b group by page, seq having count(*) = 1) and page in (select page from b group by page having count(*) = count(distinct seq))""")
-def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L3 on pages whose blocks have distinct numbers, as its SQL has it; reading_order_all takes every page."""
-    li = _table(spark, sf_dir, "lineitem")
-    blocks = li.select((F.col("l_orderkey") % 50).alias("doc_id"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("seq"), (F.col("l_partkey") % 3).alias("column"), (F.col("l_suppkey") % 60).alias("y"))
-    clear = blocks.groupBy("page").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("k")).where("n = k").select("page")
-    return layout.reading_order(blocks.join(clear, "page", "left_semi")).withColumnRenamed("column", "col")
-
-
 @query("""with b as (select l_orderkey % 50 as doc_id, l_orderkey as page, l_linenumber as seq, l_partkey % 3 as col, l_suppkey % 60 as y from lineitem),
 f as (select *, 2 * sum((col is not distinct from 0)::int) over (partition by doc_id, page order by y nulls first, seq nulls first, col nulls first rows unbounded preceding)
   - (col is not distinct from 0)::int as band from b)
 select doc_id, page, seq, col, y, row_number() over (partition by doc_id, page order by band, col nulls first, y nulls first, seq nulls first) as place from f""")
-def reading_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L3 on all pages: blocks of equal place and number come by column, and what is still equal are equal rows."""
     li = _table(spark, sf_dir, "lineitem")
     blocks = li.select((F.col("l_orderkey") % 50).alias("doc_id"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("seq"), (F.col("l_partkey") % 3).alias("column"), (F.col("l_suppkey") % 60).alias("y"))
     return layout.reading_order(blocks).withColumnRenamed("column", "col")
 
 
-@query("""with recursive t as (select r_regionkey as id, r_name as name, 1 as level, r_name as path from region
-  union all select 100 + n_nationkey, n_name, 2, t.path || '/' || n_name from nation join t on n_regionkey = t.id and t.level = 1)
-select 'H' || level as type, name, path from t""")
+@query("""select r_regionkey as doc_id, 0 as seq, 1 as level, r_name as text, 1 as page from region
+union all select n_regionkey, row_number() over (partition by n_regionkey order by n_nationkey), 2, n_name, 1 from nation""")
 def struct_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The heading outline of a two-level tree."""
+    """A tagged file a region, headings for itself and its nations, read by their marked content."""
+
+    def make(p: pd.DataFrame) -> bytes:
+        rows = p.sort_values("n_nationkey")
+        names = [rows.r_name.iloc[0], *rows.n_name]
+        nodes = [b"<</S/%b/Pg 4 0 R/K %d>>" % (b"H2" if i else b"H1", i) for i in range(len(names))]
+        kids = b" ".join(b"%d 0 R" % (1001 + i) for i in range(len(names)))
+        items = [(x, 72, 100 + 20 * i, i) for i, x in enumerate(names)]  # marked content, not place, gives the order
+        return pdf.write([items], extra=[b"<</Type/StructTreeRoot/K[%b]>>" % kids, *nodes], catalog=b"/StructTreeRoot 1000 0 R")
+
     region, nation = _table(spark, sf_dir, "region"), _table(spark, sf_dir, "nation")
-    top = region.select(F.lit("H1").alias("type"), F.col("r_name").alias("name"), F.col("r_name").alias("path"))
-    below = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)  # region has five rows
-    return top.union(below.select(F.lit("H2"), "n_name", F.concat_ws("/", "r_name", "n_name")))
+    made = _files(nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey), "n_regionkey", make)  # region has five rows
+    docs = assembly.documents(made.withColumn("format", F.lit("pdf")))
+    return docs.select("doc_id", F.posexplode("doc.headings").alias("seq", "h"), F.lit(1).alias("page")).selectExpr("doc_id", "seq", "h.level as level", "h.text as text", "page")
 
 
 @query("""select conv_id, string_agg(case when role = 'user' then '# ' else '' end || text, chr(10) || chr(10) order by turn) as text
@@ -314,8 +333,8 @@ from t group by conv_id, n""")
 def presentation_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as presentations, decoded, assembled and rendered."""
     make = lambda p: ooxml.write_pptx([(r.role, r.text) for r in p.sort_values("turn").itertuples()])
-    rows = ooxml.elements(_files(_table(spark, sf_dir, "conversations"), "conv_id", make), "pptx")
-    return assembly.presentations(rows).select("doc_id", document.to_markdown(F.col("doc")).alias("markdown"))
+    made = _files(_table(spark, sf_dir, "conversations"), "conv_id", make).withColumn("format", F.lit("pptx"))
+    return assembly.documents(made).select("doc_id", document.to_markdown(F.col("doc")).alias("markdown"))
 
 
 @query("""with g as (select n_regionkey as doc_id, count(*) as n, string_agg(n_nationkey || chr(9) || n_name, chr(10) order by n_nationkey) as tsv from nation group by 1)
@@ -323,8 +342,8 @@ select doc_id, '=== nations ===' || chr(10) || tsv || chr(10) as text, 1 as page
 def workbook_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workbooks to documents with their text, tables and headings."""
     make = lambda p: ooxml.write_xlsx({"nations": [[str(r.n_nationkey), r.n_name] for r in p.sort_values("n_nationkey").itertuples()]})
-    rows = ooxml.elements(_files(_table(spark, sf_dir, "nation"), "n_regionkey", make), "xlsx")
-    return assembly.workbooks(rows).selectExpr("doc_id", "doc.text as text", "doc.page_count as page_count", "doc.tables[0].rows as rows", "doc.tables[0].cols as cols", "doc.headings[0].text as heading")
+    made = _files(_table(spark, sf_dir, "nation"), "n_regionkey", make).withColumn("format", F.lit("xlsx"))
+    return assembly.documents(made).selectExpr("doc_id", "doc.text as text", "doc.page_count as page_count", "doc.tables[0].rows as rows", "doc.tables[0].cols as cols", "doc.headings[0].text as heading")
 
 
 @query("""select r_regionkey, '{"metadata":{"filename":"' || r_regionkey || '.txt","format":"txt","page_count":1,"title":"","author":""},"content":{"text":"' || r_name
@@ -336,11 +355,18 @@ def document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "region").select("r_regionkey", doc.alias("doc")).select("r_regionkey", document.to_json(F.col("doc")).alias("json"))
 
 
-@query("""select s_nationkey, count(*) >= 1 as is_data, 'key name note' as first_row from supplier group by s_nationkey""")
+@query("""with c as (select s_nationkey, count(*) as n, count(*) filter (s_suppkey % 4 = 0) as full_rows, min(s_suppkey) filter (s_suppkey % 4 = 0) as first_full from supplier group by s_nationkey)
+select s_nationkey, n >= 2 and 10 * (2 * full_rows + 1) >= 3 * 4 * n as is_data, case when full_rows > 0 then first_full || ' x' end as first_row from c""")
 def data_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables of data, and rows as text."""
-    grid = F.col("grid")
-    return _supplier_grids(spark, sf_dir).select("s_nationkey", document.is_data_table(grid).alias("is_data"), F.get(document.row_texts(grid), F.lit(0)).alias("first_row"))
+    """Four columns a supplier, two of them filled for every fourth; the last cell is always there."""
+    by = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    rows = _table(spark, sf_dir, "supplier").withColumn("row", F.row_number().over(by)).withColumn("last", F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.desc("s_suppkey"))))
+    full = F.col("s_suppkey") % 4 == 0
+    texts = [F.when(full, F.col("s_suppkey").cast("string")).otherwise(""), F.when(full, "x").otherwise(" "), F.lit(""), F.lit("")]
+    cells = rows.select("s_nationkey", "row", "last", F.inline(F.array(*[F.struct(F.lit(c).alias("col"), t.alias("text")) for c, t in enumerate(texts, 1)])))
+    grids = render.dense(cells.withColumn("text", F.when((F.col("last") == 1) & (F.col("col") == 4), "z").otherwise(F.col("text"))).drop("last"), ["s_nationkey"], first=1)
+    texts_of = F.filter(document.row_texts(F.col("grid")), lambda t: t.endswith(" x") | t.endswith(" x z"))
+    return grids.select("s_nationkey", document.is_data_table(F.col("grid")).alias("is_data"), F.regexp_replace(F.get(texts_of, F.lit(0)), " z$", "").alias("first_row"))
 
 
 @query("""select n_regionkey as doc_id, (n_nationkey % 3)::int as page, n_name as text, (10 * n_nationkey)::double as x, (700 - 20 * n_nationkey)::double as y from nation""")
@@ -364,3 +390,115 @@ def ppt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = compound.elements(_files(_table(spark, sf_dir, "conversations").where("text is not null"), "conv_id", make), "ppt")
     return rows.where("kind = 'shape'").select("doc_id", F.col("row").alias("seq"), "text")
+
+
+@query("""select doc_id, text from documents""")
+def text_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in UTF-8 and UTF-16, with and without a mark, decoded again."""
+    text, kind = F.col("text"), F.col("doc_id") % 4
+    marked = lambda mark, coding: F.concat(F.unhex(F.lit(mark)), F.encode(text, coding))
+    content = F.when(kind == 0, F.encode(text, "UTF-8")).when(kind == 1, marked("EFBBBF", "UTF-8")).when(kind == 2, marked("FFFE", "UTF-16LE")).otherwise(marked("FEFF", "UTF-16BE"))
+    return _table(spark, sf_dir, "documents").select("doc_id", encodings.text_of(content).alias("text"))
+
+
+@query("""select conv_id as doc_id, string_agg(trim(text), chr(10) || chr(10) order by turn) as text from conversations where trim(text) <> '' group by conv_id""")
+def doc_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as doc files, a paragraph a turn, read by their piece tables."""
+    make = lambda p: compound.write_doc(p.sort_values("turn").text.tolist())
+    made = _files(_table(spark, sf_dir, "conversations"), "conv_id", make).withColumn("format", F.lit("doc"))
+    return assembly.documents(made).selectExpr("doc_id", "doc.text as text").where("text <> ''")
+
+
+@query("""select n_regionkey as doc_id, '| key | name | even |' || chr(10) || '| --- | --- | --- |' || chr(10)
+  || string_agg('| ' || n_nationkey || ' | ' || n_name || ' | ' || case when n_nationkey % 2 = 0 then 'yes' else '' end || ' |', chr(10) order by n_nationkey) as markdown,
+  'intro' || chr(10) || chr(10) || 'key name even' || chr(10) || chr(10) || string_agg(n_nationkey || ' ' || n_name || case when n_nationkey % 2 = 0 then ' yes' else '' end, chr(10) || chr(10) order by n_nationkey) as text
+from nation group by n_regionkey""")
+def hwp_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A paragraph and a table with empty cells; the rows are paragraphs as well."""
+
+    def make(p: pd.DataFrame) -> bytes:
+        rows = [[str(r.n_nationkey), r.n_name, "" if r.n_nationkey % 2 else "yes"] for r in p.sort_values("n_nationkey").itertuples()]
+        return compound.write_hwp(["intro"], [[["key", "name", "even"], *rows]])
+
+    made = _files(_table(spark, sf_dir, "nation"), "n_regionkey", make).withColumn("format", F.lit("hwp"))
+    return assembly.documents(made).selectExpr("doc_id", "doc.tables[0].markdown as markdown", "doc.text as text")
+
+
+@query("""with t as (select conv_id, text, row_number() over (partition by conv_id order by turn) as i from conversations where trim(text) <> ''),
+s as (select conv_id, trim(text) as text, i, (i - 1) // 11 as slide, (i - 1) % 11 as place from t)
+select conv_id as doc_id, slide + 1 as page, max(case when place = 0 and length(text) < 100 then text else '' end) as title, count(*) as n from s group by conv_id, slide""")
+def ppt_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of binary presentations dealt to slides."""
+
+    def make(p: pd.DataFrame) -> bytes:
+        texts = [t.encode("utf-16-le") for t in p.sort_values("turn").text]
+        return compound.write({"PowerPoint Document": b"".join(struct.pack("<HHI", 0, 4000, len(t)) + t for t in texts)})
+
+    made = _files(_table(spark, sf_dir, "conversations"), "conv_id", make)
+    texts = compound.elements(made, "ppt").where("kind = 'shape'").select("doc_id", "row", "text")
+    own = texts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("row", "text"))).alias("t"))
+    slides = own.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("t") - 1).cast("int"), F.lit(compound.SLIDE_TEXTS + 1)), lambda a: F.slice("t", a + 1, compound.SLIDE_TEXTS + 1))).alias("page", "own"))
+    first = F.col("own")[0]["text"]
+    return slides.select("doc_id", (F.col("page") + 1).cast("bigint").alias("page"), F.when(F.length(first) < compound.TITLE_CHARS, first).otherwise("").alias("title"), F.size("own").cast("bigint").alias("n"))
+
+
+#: Customers of a nation on pages of two columns of 30.
+_COLUMNS = """(select c_nationkey as doc_id, (i - 1) // 60 as page, (i - 1) % 60 as place, c_name, least(60, n - (i - 1) // 60 * 60) as own
+  from (select *, row_number() over (partition by c_nationkey order by c_custkey) as i, count(*) over (partition by c_nationkey) as n from customer))"""
+
+
+@query(f"""with t as {_COLUMNS},
+lines as (select doc_id, page, place % 30 as line, max(own) as own, string_agg(c_name, ' ' order by place) as text from t group by all)
+select doc_id, (page + 1)::int as page, string_agg(c_name, chr(10) order by place) as text from t where own >= 40 group by doc_id, page
+union all select doc_id, (page + 1)::int, string_agg(text, chr(10) order by line) from lines where own < 40 group by doc_id, page""")
+def pdf_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of two columns are read column by column, sparse ones line by line."""
+
+    def make(p: pd.DataFrame) -> bytes:
+        names = p.sort_values("c_custkey").c_name.tolist()
+        pages = [names[a : a + 60] for a in range(0, len(names), 60)]
+        return pdf.write([[(x, 72 + 273 * (i // 30), 700 - 20 * (i % 30)) for i, x in enumerate(own)] for own in pages])
+
+    docs = assembly.documents(_files(_table(spark, sf_dir, "customer"), "c_nationkey", make).withColumn("format", F.lit("pdf")))
+    return docs.select("doc_id", F.inline("doc.pages")).select("doc_id", "page", "text")
+
+
+_NATIONS = """select n_regionkey as doc_id, '| key | name | part |' || chr(10) || '| --- | --- | --- |' || chr(10)
+  || string_agg('| ' || n_nationkey || ' | ' || n_name || ' | p' || n_nationkey * 7 || ' |', chr(10) order by n_nationkey) as markdown, (count(*) + 1)::int as rows, 3 as cols from nation group by n_regionkey"""
+
+
+def _nation_pages(spark: SparkSession, sf_dir: str, across: bool, down: bool) -> DataFrame:
+    """A table a region with a header, on a page with rulings, and its tables as they are found."""
+
+    def make(p: pd.DataFrame) -> bytes:
+        rows = [("key", "name", "part"), *((str(r.n_nationkey), r.n_name, f"p{r.n_nationkey * 7}") for r in p.sort_values("n_nationkey").itertuples())]
+        xs, ys = (100, 203, 306, 409), [700 - 24 * k for k in range(len(rows) + 1)]
+        lines = [(xs[0], y, xs[-1], y) for y in ys] if across else []
+        lines += [(x, a - 0.5, x, b + 0.5) for x in xs for a, b in zip(ys[1:], ys)] if down else []
+        return pdf.write([[(t, xs[c] + 8, ys[r] - 10) for r, row in enumerate(rows) for c, t in enumerate(row)]], rulings=lines)
+
+    docs = assembly.documents(_files(_table(spark, sf_dir, "nation"), "n_regionkey", make).withColumn("format", F.lit("pdf")))
+    return docs.select("doc_id", F.inline("doc.tables")).select("doc_id", "markdown", "rows", "cols")
+
+
+@query(_NATIONS)
+def pdf_grid_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables by their rulings."""
+    return _nation_pages(spark, sf_dir, True, True)
+
+
+@query(_NATIONS)
+def pdf_text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables without rulings, by the projection of their text."""
+    return _nation_pages(spark, sf_dir, False, False)
+
+
+@query("""select (l_orderkey % 50) as doc_id, l_orderkey as page, l_linenumber as seq, l_partkey as part, case when y < 0.08 * 60 then 'header' when y > 0.92 * 60 then 'footer'
+  when size > 2 * usual then 'title' when size > 1.3 * usual then 'heading' when l_linenumber % 3 = 0 then 'list' else 'paragraph' end as block_type
+from (select *, l_suppkey % 60 as y, l_quantity as size, avg(l_quantity) over (partition by l_orderkey) as usual from lineitem)""")
+def block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L11 over line items as blocks."""
+    li = _table(spark, sf_dir, "lineitem")
+    text = F.when(F.col("l_linenumber") % 3 == 0, "• entry").otherwise("words")
+    blocks = li.select((F.col("l_orderkey") % 50).alias("doc_id"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("seq"), F.col("l_partkey").alias("part"), (F.col("l_suppkey") % 60).cast("double").alias("y"), F.col("l_quantity").alias("font_size"), F.lit(60.0).alias("height"), text.alias("text"))
+    return layout.classify(blocks).select("doc_id", "page", "seq", "part", "block_type")

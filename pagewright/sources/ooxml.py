@@ -1,7 +1,8 @@
 """ZIP and XML documents (xlsx, docx, pptx, hwpx) to rows, and writers of small ones.
 
-``elements`` is the one boundary where opaque bytes become rows (doc_id, kind, part, row, col, text, style, level);
-what rows mean is decided in DataFrame operations.  A file that cannot be read gives one row of kind ``error``.
+``elements`` is the one boundary where opaque bytes become rows (doc_id, kind, part, row, col, text, style, level,
+data); shared strings and styles are resolved there, so nothing is decoded twice.  A file that cannot be read gives a row of
+kind ``error``, and so does a member of one that can; the rest of the file stands.
 """
 
 from __future__ import annotations
@@ -9,20 +10,25 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id bigint, kind string, part int, row int, col int, text string, style string, level int"
-_EMPTY = (0, 0, 0, "", "", 0)
+from pagewright.sources.decoding import decoded
+
+SCHEMA = "doc_id bigint, kind string, part int, row int, col int, text string, style string, level int, data binary"
+Row = tuple  # (kind, part, row, col, text, style, level[, data])
+
+
+def failed(reason: str) -> Row:
+    return ("error", 0, 0, 0, reason, "", 0, None)
 
 
 def _tag(e: ET.Element) -> str:
-    return e.tag.rsplit("}", 1)[-1]
+    return e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
 
 
 def _all(e: ET.Element, name: str) -> Iterator[ET.Element]:
@@ -41,143 +47,234 @@ def _numbered(names: list[str], pattern: str) -> list[tuple[int, str]]:
     return sorted((int(m[1]), n) for n in names if (m := re.fullmatch(pattern, n)))
 
 
-def _properties(z: zipfile.ZipFile) -> Iterator[tuple]:
+def _member(name: str, rows: Callable[[], Iterator[Row]]) -> Iterator[Row]:
+    """The rows of a member; what is wrong with it is its own error row."""
+    try:
+        yield from rows()
+    except Exception as e:
+        yield failed(f"{name}: {type(e).__name__}: {e}")
+
+
+def _properties(z: zipfile.ZipFile) -> Iterator[Row]:
+    """Title, creator and dates."""
     if "docProps/core.xml" in z.namelist():
         for e in ET.fromstring(z.read("docProps/core.xml")):
             yield ("property", 0, 0, 0, e.text or "", _tag(e), 0)
 
 
-def _media(z: zipfile.ZipFile) -> Iterator[tuple]:
-    for i, n in enumerate(n for n in z.namelist() if "/media/" in n or n.lower().startswith("bindata/")):
-        yield ("image", i, 0, 0, n, "", z.getinfo(n).file_size)
+def _media(z: zipfile.ZipFile) -> Iterator[Row]:
+    """Image members with their bytes."""
+    for i, n in enumerate(n for n in z.namelist() if ("/media/" in n or "bindata/" in n.lower()) and not n.endswith("/")):
+        yield from _member(n, lambda i=i, n=n: iter([("image", i, 0, 0, n, "", z.getinfo(n).file_size, z.read(n))]))
 
 
-def _table(e: ET.Element, number: int, row: str, cell: str) -> Iterator[tuple]:
+def _table(e: ET.Element, number: int, row: str, cell: str, text: Callable[[ET.Element], str] = lambda c: _text(c, between=" ")) -> Iterator[Row]:
     for r, tr in enumerate(_all(e, row)):
         for c, tc in enumerate(_all(tr, cell)):
-            yield ("cell", number, r, c, _text(tc, between=" "), "", 0)
-
-
-def xlsx(z: zipfile.ZipFile) -> Iterator[tuple]:
-    """Sheets by their relationships, shared strings as their own rows, cells with raw value and type."""
-    names = set(z.namelist())
-    if "xl/sharedStrings.xml" in names:
-        for i, si in enumerate(x for x in ET.fromstring(z.read("xl/sharedStrings.xml")) if _tag(x) == "si"):
-            yield ("shared", 0, i, 0, _text(si), "", 0)
-    targets = {}
-    if "xl/_rels/workbook.xml.rels" in names:
-        targets = {x.get("Id"): x.get("Target", "") for x in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-    for i, sheet in enumerate(_all(ET.fromstring(z.read("xl/workbook.xml")), "sheet")):
-        target = targets.get(_value(sheet, "id"), f"worksheets/sheet{i + 1}.xml")
+            yield ("cell", number, r, c, text(tc), "", 0)
+
+
+def number_text(raw: str) -> str:
+    """A number of a sheet as text: a float with its point, an integer without (X20); what is no number stays."""
+    try:
+        return repr(float(raw)) if re.search(r"[.eE]", raw) else str(int(raw))
+    except ValueError:
+        return raw
+
+
+def _cells(sheet: ET.Element, part: int, strings: list[str]) -> Iterator[Row]:
+    """Cells with their shown text, their raw type in ``style``, and formulas as their own rows."""
+    for cell in _all(sheet, "c"):
+        m = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r", ""))
+        if not m:
+            continue
+        col = 0
+        for letter in m[1]:
+            col = col * 26 + ord(letter) - 64
+        kind = cell.get("t", "n")
+        raw = next((v.text or "" for v in cell if _tag(v) == "v"), "")
+        if kind == "inlineStr":
+            shown = _text(cell)
+        elif kind == "s":
+            shown = strings[int(raw)] if raw.isdigit() and int(raw) < len(strings) else raw
+        else:
+            shown = {"1": "True"}.get(raw, "False") if kind == "b" else number_text(raw) if kind in ("n", "") else raw
+        yield ("cell", part, int(m[2]), col, shown, kind, 0)
+        formula = next((f.text for f in cell if _tag(f) == "f" and f.text), None)
+        if formula:
+            yield ("formula", part, int(m[2]), col, formula, kind, 0)
+
+
+def xlsx(z: zipfile.ZipFile) -> Iterator[Row]:
+    """Sheets by their relationships, else by number, and their cells."""
+    names, strings, targets = set(z.namelist()), [], {}
+    errors: list[Row] = []
+    try:
+        if "xl/sharedStrings.xml" in names:
+            strings = [_text(si) for si in ET.fromstring(z.read("xl/sharedStrings.xml")) if _tag(si) == "si"]
+        if "xl/_rels/workbook.xml.rels" in names:
+            targets = {x.get("Id"): x.get("Target", "") for x in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        listed = [(s.get("name", ""), _value(s, "id")) for s in _all(ET.fromstring(z.read("xl/workbook.xml")), "sheet")]
+    except Exception as e:
+        errors.append(failed(f"xl/workbook.xml: {type(e).__name__}: {e}"))
+        listed = [(f"Sheet{i}", "") for i, _ in _numbered(z.namelist(), r"xl/worksheets/sheet(\d+)\.xml")]
+    yield from errors
+    for i, (name, rel) in enumerate(listed):
+        target = targets.get(rel, f"worksheets/sheet{i + 1}.xml")
         member = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-        yield ("sheet", i, 0, 0, sheet.get("name", ""), "", 0)
         if member not in names:
             continue
-        for cell in _all(ET.fromstring(z.read(member)), "c"):
-            m = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r", ""))
-            if not m:
-                continue
-            col = 0
-            for letter in m[1]:
-                col = col * 26 + ord(letter) - 64
-            kind = cell.get("t", "n")
-            value = _text(cell) if kind == "inlineStr" else next((v.text or "" for v in cell if _tag(v) == "v"), "")
-            yield ("cell", i, int(m[2]), col, value, kind, 0)
-    yield from _properties(z)
-
-
-def docx(z: zipfile.ZipFile) -> Iterator[tuple]:
-    """Body paragraphs with style ids, tables by cell, and the styles' outline levels."""
+        yield ("sheet", i, 0, 0, name, "", 0)
+        yield from _member(member, lambda i=i, member=member: _cells(ET.fromstring(z.read(member)), i, strings))
+    yield from _member("docProps/core.xml", lambda: _properties(z))
+
+
+def _styles(z: zipfile.ZipFile) -> dict[str, int]:
+    """Heading levels by style id: the number in a heading's name, else the outline level."""
+    levels = {}
+    for s in _all(ET.fromstring(z.read("word/styles.xml")), "style"):
+        outline = next((int(_value(x, "val")) + 1 for x in _all(s, "outlineLvl") if _value(x, "val").isdigit()), 0)
+        named = next((m for x in _all(s, "name") if (m := re.match(r"[Hh]eading\s*(\d)", _value(x, "val")))), None)
+        levels[_value(s, "styleId")] = int(named[1]) if named else outline
+    return levels
+
+
+def docx(z: zipfile.ZipFile) -> Iterator[Row]:
+    """Body paragraphs with style and heading level (``col`` is 1 plus a list item's level), and tables by cell."""
+    levels: dict[str, int] = {}
     if "word/styles.xml" in z.namelist():
-        for s in _all(ET.fromstring(z.read("word/styles.xml")), "style"):
-            level = next((int(_value(x, "val")) + 1 for x in _all(s, "outlineLvl") if _value(x, "val").isdigit()), 0)
-            named = next((m for x in _all(s, "name") if (m := re.match(r"[Hh]eading\s*(\d)", _value(x, "val")))), None)
-            yield ("style", 0, 0, 0, "", _value(s, "styleId"), int(named[1]) if named else level)
-    body = next(_all(ET.fromstring(z.read("word/document.xml")), "body"))
-    paragraph = table = 0
-    for e in body:
-        if _tag(e) == "p":
-            style = next((_value(x, "val") for x in _all(e, "pStyle")), "")
-            level = next((int(_value(x, "val") or 0) for x in _all(e, "ilvl")), -1)
-            yield ("paragraph", 0, paragraph, 0, _text(e), style, level)
-            paragraph += 1
-        elif _tag(e) == "tbl":
-            yield from _table(e, table, "tr", "tc")
-            table += 1
+        try:
+            levels = _styles(z)
+        except Exception as e:
+            yield failed(f"word/styles.xml: {type(e).__name__}: {e}")
+
+    def body() -> Iterator[Row]:
+        paragraph = table = 0
+        for e in next(_all(ET.fromstring(z.read("word/document.xml")), "body"), ()):
+            if _tag(e) == "p":
+                style = next((_value(x, "val") for x in _all(e, "pStyle")), "")
+                own = re.match(r"[Hh]eading.*?(\d)", style)
+                item = next((_value(x, "val") for x in _all(e, "ilvl")), "0" if next(_all(e, "numPr"), None) is not None else "")
+                yield ("paragraph", 0, paragraph, 1 + int(item) if item.isdigit() else 0, _text(e), style, int(own[1]) if own else levels.get(style, 0))
+                paragraph += 1
+            elif _tag(e) == "tbl":
+                yield from _table(e, table, "tr", "tc")
+                table += 1
+
+    yield from _member("word/document.xml", body)
     yield from _media(z)
-    yield from _properties(z)
+    yield from _member("docProps/core.xml", lambda: _properties(z))
 
 
-def pptx(z: zipfile.ZipFile) -> Iterator[tuple]:
-    """Shapes of each slide in order, title placeholders marked, tables by cell, notes."""
+def pptx(z: zipfile.ZipFile) -> Iterator[Row]:
+    """Shapes of each slide in order, title placeholders marked, tables by cell with their slide in ``level``, notes."""
     table = 0
     for i, (number, name) in enumerate(_numbered(z.namelist(), r"ppt/slides/slide(\d+)\.xml")):
-        root = ET.fromstring(z.read(name))
-        for k, sp in enumerate(_all(root, "sp")):
-            kinds = {_value(x, "type") for x in _all(sp, "ph")}
-            if text := _text(sp):
-                yield ("shape", i, k, 0, text, "title" if kinds & {"title", "ctrTitle"} else "", 0)
-        for t in _all(root, "tbl"):
-            yield from _table(t, table, "tr", "tc")
-            table += 1
-        if (note := f"ppt/notesSlides/notesSlide{number}.xml") in z.namelist():
-            yield ("note", i, 0, 0, _text(ET.fromstring(z.read(note))), "", 0)
+        yield ("slide", i, number, 0, name, "", 0)
+        try:
+            root = ET.fromstring(z.read(name))
+            for k, sp in enumerate(_all(root, "sp")):
+                kinds = {_value(x, "type") for x in _all(sp, "ph")}
+                if text := _text(sp):
+                    yield ("shape", i, k, 0, text, "title" if kinds & {"title", "ctrTitle"} else "", 0)
+            for t in _all(root, "tbl"):
+                yield from ((*c[:6], i) for c in _table(t, table, "tr", "tc"))
+                table += 1
+            if (note := f"ppt/notesSlides/notesSlide{number}.xml") in z.namelist():
+                yield ("note", i, 0, 0, _text(ET.fromstring(z.read(note))), "", 0)
+        except Exception as e:
+            yield failed(f"{name}: {type(e).__name__}: {e}")
     yield from _media(z)
-    yield from _properties(z)
+    yield from _member("docProps/core.xml", lambda: _properties(z))
 
 
-def hwpx(z: zipfile.ZipFile) -> Iterator[tuple]:
-    """Paragraphs and outermost tables of the sections in numeric order."""
-    paragraph = table = 0
-    for _, name in _numbered(z.namelist(), r"Contents/section(\d+)\.xml"):
+def _outside(e: ET.Element) -> str:
+    """The text of a hwpx element without its tables; line breaks give way to what follows them."""
+    if _tag(e) == "tbl":
+        return ""
+    own = (e.text or "") if _tag(e) in ("t", "char") else ""
+    return own + "".join(_outside(x) + ((x.tail or "") if _tag(x) == "lineBreak" or _tag(e) == "t" else "") for x in e)
+
+
+def _outermost(e: ET.Element) -> Iterator[ET.Element]:
+    for x in e:
+        if _tag(x) == "tbl":
+            yield x
+        else:
+            yield from _outermost(x)
+
+
+def _outline(e: ET.Element) -> int:
+    """A paragraph's heading level by any attribute that names a level of 0 to 9."""
+    for x in (e, *(c for c in e if _tag(c) != "tbl")):
+        for k, v in x.attrib.items():
+            if "level" in k.rsplit("}", 1)[-1].lower() and re.fullmatch(r"\d", v):
+                return int(v) + 1
+    return 0
+
+
+def hwpx(z: zipfile.ZipFile) -> Iterator[Row]:
+    """Sections in numeric order: tables by cell, the rows of tables as paragraphs of style ``row``, and paragraphs.
+
+    A paragraph whose trimmed text has come before has ``col`` 1 (X23), a blank one 2.
+    """
+    seen: set[str] = set()
+    counts = {"paragraph": 0, "table": 0}
+
+    def paragraph(text: str, style: str, level: int) -> Row:
+        key = text.strip()
+        row = ("paragraph", 0, counts["paragraph"], 2 if not key else int(key in seen), text, style, level)
+        seen.add(key)
+        counts["paragraph"] += 1
+        return row
+
+    def section(name: str) -> Iterator[Row]:
         for p in (x for x in ET.fromstring(z.read(name)) if _tag(x) == "p"):
-            tables = list(_all(p, "tbl"))
-            for t in tables:
-                yield from _table(t, table, "tr", "tc")
-                table += 1
-            inside = {id(x) for t in tables for x in t.iter()}
-            text = "".join(x.text or "" for x in _all(p, "t") if id(x) not in inside)
-            yield ("paragraph", 0, paragraph, 0, text, "", 0)
-            paragraph += 1
+            for t in _outermost(p):
+                cells = list(_table(t, counts["table"], "tr", "tc", lambda c: " ".join(x for x in (_text(c, between=" "),) if x)))
+                counts["table"] += 1
+                yield from cells
+                for r in sorted({c[2] for c in cells}):
+                    line = " ".join(c[4].strip() for c in cells if c[2] == r and c[4].strip())
+                    if line:
+                        yield paragraph(line, "row", 0)
+            yield paragraph(_outside(p), "", _outline(p))
+
+    for _, name in _numbered(z.namelist(), r"Contents/section(\d+)\.xml"):
+        yield from _member(name, lambda name=name: section(name))
     yield from _media(z)
+    if "Contents/content.hpf" in z.namelist():  # the last of each name counts (X31)
+
+        def metadata() -> Iterator[Row]:
+            found = {_tag(e): e.text or "" for e in ET.fromstring(z.read("Contents/content.hpf")).iter() if _tag(e) in ("title", "creator", "date")}
+            return (("property", 0, 0, 0, text, name, 0) for name, text in found.items())
+
+        yield from _member("Contents/content.hpf", metadata)
 
 
 DECODERS = {"xlsx": xlsx, "docx": docx, "pptx": pptx, "hwpx": hwpx}
 
 
-def elements(files: DataFrame, format: str) -> DataFrame:
-    """Rows of the files' elements; ``files`` has doc_id and content."""
+def rows(content: bytes | None, format: str) -> Iterator[Row]:
+    with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+        for row in DECODERS[format](z):
+            yield row if len(row) == 8 else (*row, None)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        for batch in batches:
-            for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-                        rows = [(doc_id, *r) for r in DECODERS[format](z)]
-                except (zipfile.BadZipFile, ET.ParseError, KeyError, StopIteration) as e:
-                    rows = [(doc_id, "error", 0, 0, 0, f"{type(e).__name__}: {e}", "", 0)]
-                yield pd.DataFrame(rows, columns=names)
 
-    return files.select("doc_id", "content").mapInPandas(run, SCHEMA)
+def elements(files: DataFrame, format: str) -> DataFrame:
+    """Rows of the files' elements; ``files`` has doc_id and content."""
+    return decoded(files, SCHEMA, lambda content: rows(content, format), failed)
 
 
 def sheet_cells(rows: DataFrame) -> DataFrame:
-    """(doc_id, part, row, col, text): shared strings joined in, other values as they stand."""
-    cells = rows.where("kind = 'cell'")
-    shared = rows.where("kind = 'shared'").select("doc_id", F.col("row").alias("idx"), F.col("text").alias("string"))
-    index = F.when(F.col("style") == "s", F.expr("try_cast(text as int)"))
-    found = cells.withColumn("idx", index).join(shared, ["doc_id", "idx"], "left")
-    shown = F.when(F.col("style") == "b", F.when(F.col("text") == "1", "True").otherwise("False")).otherwise(F.col("text"))
-    return found.select("doc_id", "part", "row", "col", F.coalesce("string", shown).alias("text"))
+    """(doc_id, part, row, col, text) of the cells of workbooks, as shown."""
+    return rows.where("kind = 'cell'").select("doc_id", "part", "row", "col", "text")
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
-    """(doc_id, seq, text, heading_level): levels from the style table, else from the style id."""
-    styles = rows.where("kind = 'style' and level > 0").select("doc_id", "style", F.col("level").alias("outline"))
-    named = F.expr("try_cast(regexp_extract(style, '^[Hh]eading.*?(\\\\d)', 1) as int)")
-    own = rows.where("kind = 'paragraph'").join(styles, ["doc_id", "style"], "left")
-    return own.select("doc_id", F.col("row").alias("seq"), "text", F.coalesce(named, "outline", F.lit(0)).alias("heading_level"))
+    """(doc_id, seq, text, heading_level) of paragraphs (X6); repeats within a hwpx document are left out."""
+    own = rows.where("kind = 'paragraph'")
+    return own.select("doc_id", F.col("row").alias("seq"), "text", F.col("level").alias("heading_level"))
 
 
 def _zipped(parts: dict[str, str]) -> bytes:
@@ -217,6 +314,13 @@ def write_pptx(slides: list[tuple[str, str]]) -> bytes:
     return _zipped(parts)
 
 
-def write_hwpx(items: list[str]) -> bytes:
-    """One section a paragraph, which shows the numeric order of sections."""
-    return _zipped({f"Contents/section{i}.xml": f'<s xmlns:h="h"><h:p><h:t>{escape(t)}</h:t></h:p></s>' for i, t in enumerate(items)})
+def write_hwpx(items: list[str | tuple[str, int]], meta: dict[str, str] | None = None) -> bytes:
+    """One section a paragraph, which shows the numeric order of sections; (text, level) is a heading from level 1 on."""
+    parts = {}
+    for i, item in enumerate(items):
+        text, level = item if isinstance(item, tuple) else (item, 0)
+        mark = f' outlineLevel="{level - 1}"' if level else ""
+        parts[f"Contents/section{i}.xml"] = f'<s xmlns:h="h"><h:p{mark}><h:t>{escape(text)}</h:t></h:p></s>'
+    if meta:
+        parts["Contents/content.hpf"] = "<package>" + "".join(f"<{k}>{escape(v)}</{k}>" for k, v in meta.items()) + "</package>"
+    return _zipped(parts)

@@ -1,7 +1,7 @@
-"""PDF files to rows: pages, text items, rulings and images, and a writer of small ones.
+"""PDF files to rows: pages, text items, rulings, images, the structure tree and the file's properties.
 
-Objects are found by scanning for their headers, newest last, so files without a usable cross-reference table are read
-as well; object streams are unpacked.  A file that cannot be read gives one row of kind ``error``.
+Objects are found by the cross-reference chain, newest first; where that is broken, by scanning for their headers
+outside of streams, the one furthest behind last.  A file that cannot be read gives a row of kind ``error``.
 """
 
 from __future__ import annotations
@@ -10,13 +10,45 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pagewright.sources.decoding import decoded
+
+SCHEMA = (
+    "doc_id bigint, kind string, page int, seq int, text string, x double, y double, x2 double, y2 double, font string, size double, "
+    "mcid int, parent int, attrs map<string,string>, data binary"
+)
+
+
+class Row(NamedTuple):
+    """A row of a file.  Kinds: page (x2, y2: its size), text, ruling and rect (two corners), image (x2, y2: its size in
+    pixels, font: its filter), property (font: its name), node of the structure tree (text: its type, seq: its number
+    in pre-order), mark (what a node holds of a page's marked content) and error."""
+
+    kind: str
+    page: int = 0
+    seq: int = 0
+    text: str = ""
+    x: float = 0.0
+    y: float = 0.0
+    x2: float = 0.0
+    y2: float = 0.0
+    font: str = ""
+    size: float = 0.0
+    mcid: int = -1
+    parent: int = -1
+    attrs: dict | None = None
+    data: bytes | None = None
+
+
+def failed(reason: str) -> Row:
+    return Row("error", text=reason)
+
 
-SCHEMA = "doc_id bigint, kind string, page int, seq int, text string, x double, y double, x2 double, y2 double, font string, size double"
-_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _SPACE, _ENDS = b"\0\t\n\f\r ", b"\0\t\n\f\r ()<>[]{}/%"
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
@@ -115,7 +147,8 @@ def _string(data: bytes, at: int) -> tuple[bytes, int]:
 
 def predicted(data: bytes, parms: dict) -> bytes:
     """Undoes the TIFF and PNG predictors on 8-bit samples."""
-    kind, colors, width = parms.get("Predictor", 1), parms.get("Colors", 1), parms.get("Columns", 1) * parms.get("Colors", 1)
+    kind, colors, columns = (n if isinstance(n := parms.get(k, 1), int) and n > 0 else 1 for k in ("Predictor", "Colors", "Columns"))
+    width = colors * columns
     if kind == 2:
         rows = np.frombuffer(data[: len(data) // width * width], np.uint8).reshape(-1, width // colors, colors)
         return np.cumsum(rows, axis=1, dtype=np.uint8).tobytes()
@@ -182,37 +215,156 @@ def inflated(data: bytes) -> bytes:
     return b""
 
 
+_HEAD = re.compile(rb"\s*(\d+)\s+(\d+)\s+obj\b")
+_STREAM = re.compile(rb"\s*stream(\r\n|\n|\r)")
+DEPTH = 50
+
+
 class File:
     """The objects of a PDF file."""
 
     def __init__(self, data: bytes):
         if not data.startswith(b"%PDF-"):
             raise ValueError("no PDF header")
-        self.objects, self.streams = {}, {}
-        self.trailer: dict = {}
-        for m in re.finditer(rb"(?<![0-9])(\d+)\s+(\d+)\s+obj\b", data):
-            value, at = next(tokens(data, m.end()), (None, 0))
-            self.objects[int(m[1])] = value
-            if isinstance(value, dict) and (s := re.compile(rb"\s*stream(\r\n|\n|\r)").match(data, at)):
-                size = value.get("Length")
-                end = s.end() + size if isinstance(size, int) and data[s.end() + size :].lstrip()[:9] == b"endstream" else data.find(b"endstream", s.end())
-                self.streams[int(m[1])] = data[s.end() : end if end >= 0 else len(data)]
-        for m in re.finditer(rb"\btrailer\b", data):
-            value = next(tokens(data, m.end()), (None, 0))[0]
-            self.trailer |= value if isinstance(value, dict) else {}
-        for number, value in list(self.objects.items()):
+        self.data, self.objects, self.streams, self.trailer = data, {}, {}, {}
+        self.spots: dict[int, tuple] = {}  # where an object stands: (offset,) or (object stream, place in it)
+        self.packed: dict[int, list] = {}
+        try:
+            self._chain()
+            for number in list(self.spots):
+                self._load(number)
+            whole = "Pages" in self.dict(self.trailer.get("Root"))
+        except (ValueError, IndexError, TypeError, KeyError, zlib.error, RecursionError):
+            whole = False
+        if not whole:
+            self._scan()
+        if self.trailer.get("Encrypt") is not None:
+            raise ValueError("the file is encrypted")
+
+    def _chain(self) -> None:
+        """The cross-reference tables and streams, from the newest back; of an object the first one counts."""
+        ends = re.findall(rb"startxref\s+(\d+)", self.data)
+        todo, seen = [int(ends[-1])], set()
+        while todo:
+            at = todo.pop(0)
+            if at in seen or at >= len(self.data):
+                continue
+            seen.add(at)
+            table = re.compile(rb"\s*xref\b").match(self.data, at)
+            if table:
+                head = self._table(table.end())
+            else:
+                number, head, body, _ = self._object(at)
+                self._entries(head, self._decoded(head, body))
+            for k, v in head.items():
+                self.trailer.setdefault(k, v)
+            todo += [v for v in (head.get("XRefStm"), head.get("Prev")) if isinstance(v, int)]
+
+    def _table(self, at: int) -> dict:
+        section, entry = re.compile(rb"\s*(\d+)\s+(\d+)(?=\s)"), re.compile(rb"\s*(\d+)\s+(\d+)\s+([nf])")
+        while m := section.match(self.data, at):
+            at = m.end()
+            for number in range(int(m[1]), int(m[1]) + int(m[2])):
+                e = entry.match(self.data, at)
+                if not e:
+                    raise ValueError("a short cross-reference table")
+                at = e.end()
+                if e[3] == b"n":
+                    self.spots.setdefault(number, (int(e[1]),))
+                else:
+                    self.spots.setdefault(number, ())
+        m = re.compile(rb"\s*trailer\b").match(self.data, at)
+        value = next(tokens(self.data, m.end()), (None, 0))[0] if m else None
+        if not isinstance(value, dict):
+            raise ValueError("no trailer")
+        return value
+
+    def _entries(self, head: dict, body: bytes) -> None:
+        widths = head["W"]
+        index = head.get("Index") or [0, head["Size"]]
+        at = 0
+        for first, many in zip(index[::2], index[1::2]):
+            for number in range(first, first + many):
+                own = []
+                for w in widths:
+                    own.append(int.from_bytes(body[at : at + w], "big"))
+                    at += w
+                kind = own[0] if widths[0] else 1
+                self.spots.setdefault(number, (own[1],) if kind == 1 else (own[1], own[2]) if kind == 2 else ())
+
+    def _object(self, at: int) -> tuple[int, object, bytes | None, int]:
+        """(number, value, stream, end) of the object at an offset."""
+        m = _HEAD.match(self.data, at)
+        if not m:
+            raise ValueError(f"no object at {at}")
+        value, end = next(tokens(self.data, m.end()), (None, m.end()))
+        body = None
+        if isinstance(value, dict) and (s := _STREAM.match(self.data, end)):
+            size = self.get(value.get("Length"))
+            stop = s.end() + size if isinstance(size, int) and size >= 0 else -1
+            if stop < 0 or not self.data[stop : stop + 24].lstrip().startswith(b"endstream"):
+                stop = self.data.find(b"endstream", s.end())
+            stop = len(self.data) if stop < 0 else stop
+            body, end = self.data[s.end() : stop], stop
+        return int(m[1]), value, body, end
+
+    def _load(self, number: int) -> None:
+        if number in self.objects or not self.spots.get(number):
+            return
+        spot, self.objects[number] = self.spots[number], None
+        if len(spot) == 2:
+            members = self._members(spot[0])
+            self.objects[number] = dict(members).get(number)
+            return
+        found, value, body, _ = self._object(spot[0])
+        if found != number:
+            raise ValueError(f"object {found} in the place of {number}")
+        self.objects[number] = value
+        if body is not None:
+            self.streams[number] = body
+
+    def _members(self, container: int) -> list[tuple[int, object]]:
+        """The objects of an object stream."""
+        if container not in self.packed:
+            self._load(container)
+            head = self.dict(self.objects.get(container))
+            body, first = self.stream(container), head.get("First", 0)
+            heads = [v for v, _ in tokens(body[:first])]
+            self.packed[container] = [(n, next(tokens(body, first + at), (None, 0))[0]) for n, at in zip(heads[::2], heads[1::2]) if isinstance(n, int) and isinstance(at, int)]
+        return self.packed[container]
+
+    def _scan(self) -> None:
+        """All objects by their headers; what stands in a stream is none."""
+        self.objects, self.streams, self.spots, self.packed = {}, {}, {}, {}
+        at, header, packed = 0, re.compile(rb"(?<![0-9])\d+\s+\d+\s+obj\b"), []
+        while m := header.search(self.data, at):
+            number, value, body, end = self._object(m.start())
+            self.objects[number] = value
+            self.streams.pop(number, None)
+            at = max(end, m.end())
+            if body is not None:
+                self.streams[number] = body
+            if isinstance(value, dict) and value.get("Type") == "ObjStm":
+                try:  # in its own place, so what comes behind it is newer
+                    self.packed.pop(number, None)
+                    self.objects |= dict(self._members(number))
+                except (ValueError, TypeError, zlib.error):
+                    packed.append(number)
             if isinstance(value, dict) and value.get("Type") == "XRef":
                 self.trailer |= value
-            if isinstance(value, dict) and value.get("Type") == "ObjStm":
-                body, first = self.stream(number), value.get("First", 0)
-                heads = [v for v, _ in tokens(body[:first])]
-                for n, at in zip(heads[::2], heads[1::2]):
-                    self.objects.setdefault(n, next(tokens(body, first + at), (None, 0))[0])
+        for m in re.finditer(rb"\btrailer\b", self.data):
+            value = next(tokens(self.data, m.end()), (None, 0))[0]
+            self.trailer |= value if isinstance(value, dict) else {}
+        if "Root" not in self.trailer:
+            root = next((n for n, v in self.objects.items() if isinstance(v, dict) and v.get("Type") == "Catalog"), None)
+            self.trailer |= {} if root is None else {"Root": Ref((root, 0))}
 
     def get(self, value: object) -> object:
         for _ in range(20):
             if not isinstance(value, Ref):
                 return value
+            if value[0] not in self.objects and value[0] in self.spots:
+                self._load(value[0])
             value = self.objects.get(value[0])
         return None
 
@@ -225,11 +377,13 @@ class File:
         return value if isinstance(value, list) else [] if value is None else [value]
 
     def stream(self, number: int) -> bytes:
-        """The decoded bytes; images in their own formats stay as they are."""
-        head, data = self.objects[number], self.streams.get(number, b"")
+        """The decoded bytes of an object's stream; images in their own formats stay as they are."""
+        return self._decoded(self.dict(self.objects.get(number)), self.streams.get(number, b""))
+
+    def _decoded(self, head: dict, data: bytes) -> bytes:
         parms = self.list(head.get("DecodeParms"))
         for i, name in enumerate(self.list(head.get("Filter"))):
-            own = {k: self.get(v) for k, v in self.dict(parms[i] if i < len(parms) else None).items()}
+            name, own = self.get(name), {k: self.get(v) for k, v in self.dict(parms[i] if i < len(parms) else None).items()}
             if name in ("FlateDecode", "Fl"):
                 data = predicted(inflated(data), own)
             elif name in ("LZWDecode", "LZW"):
@@ -245,6 +399,10 @@ class File:
 
     def pages(self) -> list[dict]:
         """The leaves of the page tree in order, with what they inherit; without a tree, all pages by number."""
+        return [page for _, page in self.leaves()]
+
+    def leaves(self) -> list[tuple[int, dict]]:
+        """(object number or -1, page) of the pages."""
         found, seen = [], set()
         todo = [(self.dict(self.trailer.get("Root")).get("Pages"), {})]
         while todo:
@@ -257,14 +415,14 @@ class File:
             if "Kids" in node:
                 todo += [(kid, own) for kid in reversed(self.list(node["Kids"]))]
             else:
-                found.append(node | own)
-        return found or [v for _, v in sorted(self.objects.items()) if isinstance(v, dict) and v.get("Type") == "Page"]
+                found.append((ref[0] if isinstance(ref, Ref) else -1, node | own))
+        return found or [(n, v) for n, v in sorted(self.objects.items()) if isinstance(v, dict) and v.get("Type") == "Page"]
 
     def unicode(self, font: dict) -> tuple[dict, int]:
         """A font's map of codes to text, and the bytes of a code."""
         codes, ref = {}, font.get("ToUnicode")
         if isinstance(ref, Ref) and ref[0] in self.streams:
-            wide = lambda b: b.decode("utf-16-be", "replace")
+            wide = lambda b: b.decode("utf-16-be", "replace") if isinstance(b, bytes) else ""
             operands: list = []
             for v, _ in tokens(self.stream(ref[0])):
                 if v == "endbfchar":
@@ -285,109 +443,259 @@ def _times(a: list[float], b: list[float]) -> list[float]:
     return [a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5]]
 
 
-def _content(file: File, page: dict, number: int) -> Iterator[tuple]:
-    """Text items at their origins, and straight lines, both in the page's coordinates."""
-    fonts = {n: file.dict(f) for n, f in file.dict(file.dict(page.get("Resources")).get("Font")).items()}
-    maps = {n: file.unicode(f) for n, f in fonts.items()}
-    body = b"\n".join(file.stream(r[0]) for r in [page.get("Contents")] + file.list(page.get("Contents")) if isinstance(r, Ref) and r[0] in file.streams)
-    unit = [1.0, 0, 0, 1.0, 0, 0]
-    ctm, saved, tm, line, font, size, leading, seq, at, operands = unit, [], unit, unit, "", 0.0, 0.0, 0, (0.0, 0.0), []
-
-    def text(raw: bytes) -> str:
-        codes, width = maps.get(font, ({}, 1))
-        if codes:
-            return "".join(codes.get(int.from_bytes(raw[i : i + width], "big"), "") for i in range(0, len(raw), width))
-        return raw.decode("utf-16-be", "replace") if width == 2 else raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
+#: The codings of the encodings that simple fonts name.
+_CODINGS = {"WinAnsiEncoding": "cp1252", "MacRomanEncoding": "mac_roman"}
+
+
+def _glyphs(file: File, font: dict) -> tuple[str, dict[int, str]]:
+    """A simple font's coding and the codes that its encoding gives to other letters."""
+    encoding = file.get(font.get("Encoding"))
+    head = encoding if isinstance(encoding, dict) else {}
+    name, codes, code = file.get(head.get("BaseEncoding")) if head else encoding, {}, 0
+    for x in file.list(head.get("Differences")):
+        if isinstance(x, int):
+            code = x
+        elif isinstance(x, str):
+            if len(x) == 1 or re.fullmatch(r"uni[0-9A-F]{4}", x):
+                codes[code] = x if len(x) == 1 else chr(int(x[3:], 16))
+            code += 1
+    return _CODINGS.get(name, "latin-1") if isinstance(name, str) else "latin-1", codes
+
+
+class _Painter:
+    """Runs the content of a page and of the forms that it shows."""
+
+    def __init__(self, file: File, page: int):
+        self.file, self.page, self.seq, self.forms = file, page, 0, set()
+        self.marks: list[int] = []
+
+    def _row(self, kind: str, text: str, *place: float, font: str = "", size: float = 0.0, attrs: dict | None = None) -> Row:
+        self.seq += 1
+        mcid = next((m for m in reversed(self.marks) if m >= 0), -1)
+        return Row(kind, self.page, self.seq - 1, text, *place, font, size, mcid, attrs=attrs)
+
+    def run(self, body: bytes, resources: dict, ctm: list[float], depth: int = 0) -> Iterator[Row]:
+        file = self.file
+        fonts = {n: file.dict(f) for n, f in file.dict(resources.get("Font")).items()}
+        known: dict[str, tuple] = {}
+        unit = [1.0, 0, 0, 1.0, 0, 0]
+        saved, tm, line, font, size, leading, rise, spaces, at, operands = [], unit, unit, "", 0.0, 0.0, 0.0, [0.0, 0.0], (0.0, 0.0), []
+
+        def text(raw: bytes) -> str:
+            if font not in known:
+                own = fonts.get(font, {})
+                known[font] = (*file.unicode(own), *_glyphs(file, own))
+            codes, width, coding, glyphs = known[font]
+            if codes:
+                return "".join(codes.get(int.from_bytes(raw[i : i + width], "big"), "") for i in range(0, len(raw), width))
+            if width == 2:
+                return raw.decode("utf-16-be", "replace")
+            if raw[:2] == b"\xfe\xff":
+                return raw[2:].decode("utf-16-be", "replace")
+            return "".join(glyphs.get(c) or bytes([c]).decode(coding, "replace") for c in raw)
+
+        def point(x: float, y: float) -> tuple[float, float]:
+            return tuple(_times([1, 0, 0, 1, x, y], ctm)[4:])
+
+        for v, _ in tokens(body):
+            if not isinstance(v, Word):
+                operands.append(v)
+                continue
+            o, operands = operands, []
+            n = [float(x) for x in o if isinstance(x, (int, float)) and not isinstance(x, bool)]
+            if v == "q":
+                saved.append(ctm)
+            elif v == "Q" and saved:
+                ctm = saved.pop()
+            elif v == "cm" and len(n) == 6:
+                ctm = _times(n, ctm)
+            elif v == "BT":
+                tm = line = unit
+            elif v == "Tf" and n and isinstance(o[0], Name):
+                font, size = str(o[0]), n[0]
+            elif v == "TL" and n:
+                leading = n[0]
+            elif v == "Ts" and n:
+                rise = n[0]
+            elif v in ("Tc", "Tw") and n:
+                spaces = [n[0], spaces[1]] if v == "Tc" else [spaces[0], n[0]]
+            elif v in ("Td", "TD") and len(n) == 2:
+                leading = -n[1] if v == "TD" else leading
+                tm = line = _times([1, 0, 0, 1, *n], line)
+            elif v == "Tm" and len(n) == 6:
+                tm = line = n
+            elif v in ("T*", "'", '"'):
+                spaces = [n[1], n[0]] if v == '"' and len(n) > 1 else spaces
+                tm = line = _times([1, 0, 0, 1, 0, -leading], line)
+            elif v in ("BDC", "BMC"):
+                held = o[1] if len(o) > 1 else None
+                held = file.dict(resources.get("Properties")).get(held) if isinstance(held, Name) else held
+                mcid = file.dict(held).get("MCID")
+                self.marks.append(mcid if isinstance(mcid, int) else -1)
+            elif v == "EMC" and self.marks:
+                self.marks.pop()
+            elif v == "m" and len(n) == 2:
+                at = point(*n)
+            elif v == "l" and len(n) == 2:
+                to = point(*n)
+                if min(abs(to[0] - at[0]), abs(to[1] - at[1])) <= 1:
+                    yield self._row("ruling", "v" if abs(to[0] - at[0]) <= 1 else "h", *map(min, at, to), *map(max, at, to))
+                at = to
+            elif v == "re" and len(n) == 4:
+                a, b = point(n[0], n[1]), point(n[0] + n[2], n[1] + n[3])
+                wide, high = abs(n[2]), abs(n[3])
+                if min(wide, high) < 2 and max(wide, high) > 5:
+                    yield self._row("ruling", "v" if wide < 2 else "h", *map(min, a, b), *map(max, a, b))
+                elif wide > 10 and high > 10:
+                    yield self._row("rect", "", *map(min, a, b), *map(max, a, b))
+            elif v == "Do" and o and depth < 8:
+                ref = file.dict(resources.get("XObject")).get(o[0])
+                form = file.dict(ref)
+                if form.get("Subtype") == "Form" and isinstance(ref, Ref) and ref not in self.forms:
+                    self.forms.add(ref)  # a form that shows itself ends here
+                    matrix = [float(x) for x in map(file.get, file.list(form.get("Matrix"))) if isinstance(x, (int, float))]
+                    yield from self.run(file.stream(ref[0]), file.dict(form.get("Resources")) or resources, _times(matrix, ctm) if len(matrix) == 6 else ctm, depth + 1)
+                    self.forms.discard(ref)
+            if v in ("Tj", "TJ", "'", '"') and o:
+                pieces = o[-1] if isinstance(o[-1], list) else [o[-1]]
+                shown = "".join(text(p) if isinstance(p, bytes) else " " if isinstance(p, (int, float)) and p < -100 else "" for p in pieces)
+                shown = re.sub(r"[\x00-\x1f ]+", " ", shown)
+                x, y = _times(_times([1, 0, 0, 1, 0, rise], tm), ctm)[4:]
+                if shown:
+                    attrs = {"char_spacing": str(spaces[0]), "word_spacing": str(spaces[1])} if any(spaces) else None
+                    yield self._row("text", shown, x, y, x, y, font=str(fonts.get(font, {}).get("BaseFont", font)), size=size, attrs=attrs)
+
+
+def _space(file: File, value: object) -> str:
+    """A colour space's name."""
+    value = file.get(value)
+    own = [file.get(x) for x in value] if isinstance(value, list) else [value]
+    if own and own[0] == "ICCBased" and len(own) > 1:
+        return f"ICCBased({file.dict(own[1]).get('N', 3)}ch)"
+    return {"DeviceRGB": "RGB", "DeviceCMYK": "CMYK", "DeviceGray": "Grayscale", "CalRGB": "RGB", "CalGray": "Grayscale"}.get(own[0], str(own[0] or "")) if own else ""
+
+
+def _images(file: File, resources: dict, page: int, seen: set) -> Iterator[Row]:
+    """The images that a page's resources reach, through forms as well."""
+    for name, ref in file.dict(resources.get("XObject")).items():
+        head = file.dict(ref)
+        if not isinstance(ref, Ref) or ref in seen:
+            continue
+        seen.add(ref)
+        if head.get("Subtype") == "Form":
+            yield from _images(file, file.dict(head.get("Resources")), page, seen)
+        elif head.get("Subtype") == "Image":
+            filters = [str(f) for f in map(file.get, file.list(head.get("Filter")))]
+            try:
+                data = file.stream(ref[0])
+            except (ValueError, zlib.error, IndexError):
+                data = file.streams.get(ref[0], b"")
+            size = [float(x) if isinstance(x := file.get(head.get(k)), (int, float)) else 0.0 for k in ("Width", "Height")]
+            attrs = {"color_space": _space(file, head.get("ColorSpace")), "bits": str(file.get(head.get("BitsPerComponent")) or 8)}
+            yield Row("image", page, len(seen) - 1, str(name), 0.0, 0.0, *size, filters[-1] if filters else "", attrs=attrs, data=data)
+
+
+def _string_of(value: object) -> str:
+    if isinstance(value, bytes):
+        return value[2:].decode("utf-16-be", "replace") if value[:2] == b"\xfe\xff" else value.decode("latin-1")
+    return str(value or "")
+
+
+def _structure(file: File, numbers: dict[int, int]) -> Iterator[Row]:
+    """The structure tree in pre-order, and what its nodes hold of the pages' marked content."""
+    root = file.dict(file.dict(file.trailer.get("Root")).get("StructTreeRoot"))
+    roles, count = file.dict(root.get("RoleMap")), 0
+    todo: list[tuple] = [(k, -1, -1, 0) for k in reversed(file.list(root.get("K")))]
+    seen = set()
+    while todo:
+        ref, parent, page, depth = todo.pop()
+        if isinstance(ref, Ref):
+            if ref in seen:
+                continue
+            seen.add(ref)
+        value = file.get(ref)
+        if isinstance(value, int):
+            yield Row("mark", page, count, mcid=value, parent=parent)
+            continue
+        if not isinstance(value, dict) or depth > DEPTH:
+            continue
+        own = value.get("Pg")
+        page = numbers.get(own[0], page) if isinstance(own, Ref) else page
+        if "MCID" in value and "S" not in value:
+            mcid = file.get(value["MCID"])
+            if isinstance(mcid, int):
+                yield Row("mark", page, count, mcid=mcid, parent=parent)
+            continue
+        if "S" not in value:
+            continue
+        kind = str(file.get(value["S"]))
+        attrs = {n: _string_of(file.get(value[k])) for n, k in (("Lang", "Lang"), ("Alt", "Alt"), ("ActualText", "ActualText"), ("Title", "T")) if k in value}
+        yield Row("node", page, count, str(file.get(roles.get(kind)) or kind), parent=parent, attrs=attrs or None)
+        todo += [(k, count, page, depth + 1) for k in reversed(file.list(value.get("K")))]
+        count += 1
 
-    def point(x: float, y: float) -> tuple[float, float]:
-        return tuple(_times([1, 0, 0, 1, x, y], ctm)[4:])
 
-    for v, _ in tokens(body):
-        if not isinstance(v, Word):
-            operands.append(v)
-            continue
-        o, operands = operands, []
-        n = [float(x) for x in o if isinstance(x, (int, float))]
-        if v == "q":
-            saved.append(ctm)
-        elif v == "Q" and saved:
-            ctm = saved.pop()
-        elif v == "cm" and len(n) == 6:
-            ctm = _times(n, ctm)
-        elif v == "BT":
-            tm = line = unit
-        elif v == "Tf" and n and isinstance(o[0], Name):
-            font, size = str(o[0]), n[0]
-        elif v == "TL" and n:
-            leading = n[0]
-        elif v in ("Td", "TD") and len(n) == 2:
-            leading = -n[1] if v == "TD" else leading
-            tm = line = _times([1, 0, 0, 1, *n], line)
-        elif v == "Tm" and len(n) == 6:
-            tm = line = n
-        elif v in ("T*", "'", '"'):
-            tm = line = _times([1, 0, 0, 1, 0, -leading], line)
-        elif v == "m" and len(n) == 2:
-            at = point(*n)
-        elif v == "l" and len(n) == 2:
-            to = point(*n)
-            if min(abs(to[0] - at[0]), abs(to[1] - at[1])) <= 1:
-                yield ("ruling", number, seq, "v" if abs(to[0] - at[0]) <= 1 else "h", *map(min, at, to), *map(max, at, to), "", 0.0)
-                seq += 1
-            at = to
-        elif v == "re" and len(n) == 4 and min(abs(n[2]), abs(n[3])) < 2 and max(abs(n[2]), abs(n[3])) > 5:
-            a, b = point(n[0], n[1]), point(n[0] + n[2], n[1] + n[3])
-            yield ("ruling", number, seq, "v" if abs(n[2]) < 2 else "h", *map(min, a, b), *map(max, a, b), "", 0.0)
-            seq += 1
-        if v in ("Tj", "TJ", "'", '"') and o:
-            pieces = o[-1] if isinstance(o[-1], list) else [o[-1]]
-            shown = "".join(text(p) if isinstance(p, bytes) else " " if isinstance(p, (int, float)) and p < -100 else "" for p in pieces)
-            shown = re.sub(r"[\x00-\x1f ]+", " ", shown)
-            x, y = _times(tm, ctm)[4:]
-            if shown:
-                yield ("text", number, seq, shown, x, y, x, y, str(fonts.get(font, {}).get("BaseFont", font)), size)
-                seq += 1
-
-
-def decode(data: bytes) -> Iterator[tuple]:
-    """All rows of a file; a page's row has its size in x2 and y2, an image's its filter in ``font``."""
+def decode(data: bytes) -> Iterator[Row]:
+    """All rows of a file; what is wrong with a page is an error row of its own."""
     file = File(data)
-    for number, page in enumerate(file.pages()):
+    leaves = file.leaves()
+    for k, name in (("Title", "title"), ("Author", "creator")):
+        if text := _string_of(file.get(file.dict(file.trailer.get("Info")).get(k))):
+            yield Row("property", -1, text=text, font=name)
+    for number, (_, page) in enumerate(leaves):
         box = [float(x) for x in map(file.get, file.list(page.get("MediaBox"))) if isinstance(x, (int, float))]
         box = box if len(box) == 4 else [0.0, 0.0, 595.0, 842.0]
-        yield ("page", number, 0, "", 0.0, 0.0, box[2] - box[0], box[3] - box[1], "", 0.0)
-        yield from _content(file, page, number)
-        for i, (name, ref) in enumerate(file.dict(file.dict(page.get("Resources")).get("XObject")).items()):
-            if (head := file.dict(ref)).get("Subtype") == "Image":
-                kind = [str(f) for f in file.list(head.get("Filter"))]
-                yield ("image", number, i, str(name), 0.0, 0.0, float(head.get("Width", 0)), float(head.get("Height", 0)), kind[-1] if kind else "", 0.0)
+        yield Row("page", number, x2=box[2] - box[0], y2=box[3] - box[1])
+        resources = file.dict(page.get("Resources"))
+        try:
+            body = b"\n".join(file.stream(r[0]) for r in [page.get("Contents")] + file.list(page.get("Contents")) if isinstance(r, Ref) and r[0] in file.streams)
+            yield from _Painter(file, number).run(body, resources, [1.0, 0, 0, 1.0, 0, 0])
+            yield from _images(file, resources, number, set())
+        except Exception as e:
+            yield failed(f"page {number}: {type(e).__name__}: {e}")
+    try:
+        yield from _structure(file, {n: i for i, (n, _) in enumerate(leaves)})
+    except Exception as e:
+        yield failed(f"structure: {type(e).__name__}: {e}")
 
 
 def elements(files: DataFrame) -> DataFrame:
     """Rows of the files' elements; ``files`` has doc_id and content."""
+    return decoded(files, SCHEMA, lambda content: decode(bytes(content or b"")), failed)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
-                try:
-                    rows = [(doc_id, *r) for r in decode(bytes(content or b""))]
-                except (ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError) as e:
-                    rows = [(doc_id, "error", 0, 0, f"{type(e).__name__}: {e}", 0.0, 0.0, 0.0, 0.0, "", 0.0)]
-                yield pd.DataFrame(rows, columns=_NAMES)
+def page_sizes(rows: DataFrame) -> DataFrame:
+    """(doc_id, page, width, height) of the pages."""
+    return rows.where("kind = 'page'").select("doc_id", "page", F.col("x2").alias("width"), F.col("y2").alias("height"))
 
-    return files.select("doc_id", "content").mapInPandas(run, SCHEMA)
 
+def write(pages: list[list[tuple]], packed: bool = True, rulings: list[tuple] = (), extra: list[bytes] = (), table: bool = True, catalog: bytes = b"", info: bytes = b"") -> bytes:
+    """Pages of (text, x, y), or (text, x, y, mcid), in one Type 1 font at size 12, in Latin-1.
 
-def write(pages: list[list[tuple[str, float, float]]], packed: bool = True) -> bytes:
-    """Pages of (text, x, y) in one Type 1 font at size 12, in Latin-1."""
-    out, kids = [b"%PDF-1.4\n", b"1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj\n", b"3 0 obj <</Type/Font/Subtype/Type1/BaseFont/Helvetica>> endobj\n"], []
+    Every page shows ``rulings``, lines of (x, y, x2, y2).  ``extra`` holds whole objects from number 1000 on, ``catalog``
+    and ``info`` entries of the catalog and the properties; without ``table`` there is no cross-reference table.
+    """
+    out, kids = [b"1 0 obj <</Type/Catalog/Pages 2 0 R%b>> endobj\n" % catalog, b"3 0 obj <</Type/Font/Subtype/Type1/BaseFont/Helvetica>> endobj\n"], []
+    lines = b"\n".join(b"%g %g m %g %g l S" % tuple(r) for r in rulings)
+    text = lambda t: re.sub(rb"([\\()])", rb"\\\1", t.encode("latin-1", "replace"))
     for i, items in enumerate(pages):
-        text = lambda t: re.sub(rb"([\\()])", rb"\\\1", t.encode("latin-1", "replace"))
-        body = b"\n".join(b"BT /F1 12 Tf %g %g Td (%b) Tj ET" % (x, y, text(t)) for t, x, y in items)
+        shown = []
+        for t, x, y, *mcid in items:
+            one = b"BT /F1 12 Tf %g %g Td (%b) Tj ET" % (x, y, text(t))
+            shown.append(b"/P <</MCID %d>> BDC %b EMC" % (mcid[0], one) if mcid else one)
+        body = b"\n".join([*shown, lines] if lines else shown)
         body = zlib.compress(body) if packed else body
         kids.append(b"%d 0 R" % (4 + 2 * i))
         out.append(b"%d 0 obj <</Type/Page/Parent 2 0 R/Contents %d 0 R>> endobj\n" % (4 + 2 * i, 5 + 2 * i))
         out.append(b"%d 0 obj <</Length %d%b>> stream\n" % (5 + 2 * i, len(body), b"/Filter/FlateDecode" if packed else b"") + body + b"\nendstream endobj\n")
     out.append(b"2 0 obj <</Type/Pages/Count %d/Kids[%b]/MediaBox[0 0 612 792]/Resources<</Font<</F1 3 0 R>>>>>> endobj\n" % (len(pages), b" ".join(kids)))
-    out.append(b"trailer <</Root 1 0 R>>\n%%EOF\n")
-    return b"".join(out)
+    out += [b"%d 0 obj %b endobj\n" % (1000 + i, x) for i, x in enumerate(extra)]
+    data, places = b"%PDF-1.4\n", {}
+    for x in out:
+        places[int(x.split()[0])] = len(data)
+        data += x
+    last, at = max(places) + 1, len(data)
+    if table:
+        data += b"xref\n" + b"".join(b"%d 1\n%010d 00000 n \n" % (n, places[n]) for n in sorted(places))
+    data += b"trailer <</Root 1 0 R/Size %d%b>>\n" % (last, b"/Info <<%b>>" % info if info else b"")
+    return data + (b"startxref\n%d\n" % at if table else b"") + b"%%EOF\n"

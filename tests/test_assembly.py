@@ -25,14 +25,14 @@ def folder(tmp_path):
 
 def test_presentation(spark):
     made = spark.createDataFrame([(1, bytearray(ooxml.write_pptx([("T1", "body"), ("T2", "T2")])))], "doc_id bigint, content binary")
-    doc = assembly.presentations(ooxml.elements(made, "pptx")).first().doc
+    doc = assembly.documents(made.withColumn("format", F.lit("pptx"))).first().doc
     assert (doc.page_count, doc.text) == (2, "# T1\n\nbody\n\n# T2")
     assert [h.text for h in doc.headings] == ["T1", "T2"]
 
 
 def test_workbook_keeps_the_order_of_sheets(spark):
     made = spark.createDataFrame([(1, bytearray(ooxml.write_xlsx({"one": [["a", "b"]], "two": [["e"]]})))], "doc_id bigint, content binary")
-    doc = assembly.workbooks(ooxml.elements(made, "xlsx")).first().doc
+    doc = assembly.documents(made.withColumn("format", F.lit("xlsx"))).first().doc
     assert doc.text == "=== one ===\na\tb\n\n=== two ===\ne\n"
     assert [t.page for t in doc.tables] == [1, 2]
 
@@ -80,7 +80,8 @@ def test_written(spark):
     table = "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc/></w:tr><w:tr><w:tc/><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
     whole = lambda inner: ooxml._zipped({"word/document.xml": f'<w:document xmlns:w="w"><w:body>{inner}</w:body></w:document>'})
     made = spark.createDataFrame([(1, bytearray(whole(body + table))), (2, bytearray(whole(table))), (3, bytearray(b"no"))], "doc_id bigint, content binary")
-    docs = {r.doc_id: r.doc for r in assembly.written(ooxml.elements(made, "docx"), "docx").collect()}
-    assert set(docs) == {1, 2}
+    found = assembly.documents(made.withColumn("format", F.lit("docx"))).collect()
+    docs = {r.doc_id: r.doc for r in found if r.doc}
+    assert set(docs) == {1, 2} and [r.doc_id for r in found if r.error] == [3]
     assert (docs[1].text, [(h.level, h.text) for h in docs[1].headings]) == ("## H\n\nx", [(2, "H")])
     assert docs[2].text == "" and docs[2].tables[0].markdown == "| a |  |\n| --- | --- |\n|  | b |"

@@ -26,11 +26,11 @@ def brute(blocks):
 def test_reading_order_takes_every_page(spark):
     items = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").collect()
     want = brute((k % 50, k, n, p % 3, s % 60) for k, n, p, s in items)
-    got = __spark_entry__.queries()["reading_order_all"](spark, SF).select("doc_id", "page", "seq", "col", "y", "place").collect()
+    got = __spark_entry__.queries()["reading_order"](spark, SF).select("doc_id", "page", "seq", "col", "y", "place").collect()
     assert Counter(map(tuple, got)) == want and len(got) == len(items)
     with duckdb.connect() as db:
         db.execute(f"create view lineitem as from '{SF}/lineitem.parquet'")
-        assert Counter(db.execute(__spark_entry__.oracle_sql()["reading_order_all"]).fetchall()) == want
+        assert Counter(db.execute(__spark_entry__.oracle_sql()["reading_order"]).fetchall()) == want
 
 
 def test_ties_do_not_depend_on_row_order(spark):
