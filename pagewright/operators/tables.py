@@ -206,7 +206,7 @@ def rule_table(lines: list[tuple], items: list[Item], exclusive: bool = False) -
     return table if _filled(table, 0.2) else None
 
 
-def by_alignment(items: list[Item], width: float) -> list[Table]:
+def by_alignment(items: list[Item], width: float, exclusive: bool = False) -> list[Table]:
     """Tables of aligned text, in each half of a page with a wide gap in its middle, else in the whole."""
     if len(items) < 8:
         return []
@@ -216,22 +216,22 @@ def by_alignment(items: list[Item], width: float) -> list[Table]:
         middle = max(gaps)[2]
         sides = [[i for i in items if (i.x < middle) == left] for left in (True, False)]
         if min(map(len, sides)) >= 10:
-            found = [t for side in sides for t in aligned_tables(side)]
+            found = [t for side in sides for t in aligned_tables(side, exclusive)]
             if found:
                 return found
-    return aligned_tables(items)
+    return aligned_tables(items, exclusive)
 
 
-def aligned_tables(items: list[Item]) -> list[Table]:
+def aligned_tables(items: list[Item], exclusive: bool = False) -> list[Table]:
     """Runs of four or more rows with text in several columns, two others between them at most."""
     lines = binned(items, lambda i: i.y, 5)
     keys = list(lines)
     data = [k for k, y in enumerate(keys) if len(chained(sorted(i.x for i in lines[y]), float, 30)) >= 2 and max(len(i.text.strip()) for i in lines[y]) <= 50]
     runs = [[keys[k] for k in run] for run in chained(data, float, 3) if len(run) >= 4]
-    return [t for run in runs if (t := aligned_table(run, lines))]
+    return [t for run in runs if (t := aligned_table(run, lines, exclusive))]
 
 
-def aligned_table(run: list[float], lines: dict[float, list[Item]]) -> Table | None:
+def aligned_table(run: list[float], lines: dict[float, list[Item]], exclusive: bool = False) -> Table | None:
     """The table of a run of data rows and what stands between them."""
     held = [i for y in run for i in lines[y]]
     often = [x for x, g in binned(held, lambda i: i.x, 10).items() if len(g) >= 3]
@@ -243,7 +243,7 @@ def aligned_table(run: list[float], lines: dict[float, list[Item]]) -> Table | N
     cells = {}
     for r, y in enumerate(ys):
         for c, (a, b) in enumerate(zip(xs, xs[1:])):
-            cells[r, c] = " ".join(i.text for i in sorted(lines[y], key=lambda i: i.x) if a - 5 <= i.x <= b + 5).strip()
+            cells[r, c] = " ".join(i.text for i in sorted(lines[y], key=lambda i: i.x) if (a <= i.x < b if exclusive else a - 5 <= i.x <= b + 5)).strip()
     table = Table(cells, len(ys), len(xs) - 1, xs[0], run[0], xs[-1] - xs[0], run[-1] - run[0], "alignment")
     return table if table.rows >= 3 and _filled(table, 0.2) and not _reads_as_prose(table) else None
 
@@ -367,7 +367,7 @@ def page_tables(items: list[Item], ruled: Ruled, width: float, height: float, ex
     found = by_grid(items, ruled, width, height, exclusive)
     if found:
         return found
-    rest = by_rules(items, ruled.across, height, exclusive) + by_alignment(items, width)
+    rest = by_rules(items, ruled.across, height, exclusive) + by_alignment(items, width, exclusive)
     kept: list[Table] = []
     for t in sorted(rest, key=lambda t: -len(t.cells)):
         over: Callable[[Table], bool] = lambda k, t=t: (

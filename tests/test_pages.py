@@ -92,7 +92,7 @@ def test_alignment_and_overlap():
     rows = [(str(rng.randint(10, 99)), 60 + 103 * c, 100 + 14 * r) for r in range(6) for c in range(3)]
     found = tables.by_alignment(items(*rows), 612)
     assert [(t.method, t.rows, t.cols) for t in found] == [("alignment", 6, 3)]
-    assert tables.page_tables(items(*rows), Ruled([], []), 612, 792)[0].grid()[0] == [t for t, _, _ in rows[:3]]
+    assert tables.page_tables(items(*rows), Ruled([], []), 612, 792, exclusive=True)[0].grid()[0] == [t for t, _, _ in rows[:3]]
 
 
 def test_tables_between_rules():
