@@ -105,7 +105,7 @@ def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0, interpolation.DELETED).otherwise(interpolation.TRAIN)
     docs = docs.withColumn("fold", F.when(fold == 2, interpolation.OTHER).otherwise(part))
     held = F.coalesce(quality_nn.remainder(7) == 2, F.lit(False))
-    return interpolation.score(docs).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return interpolation.score(docs, order=3).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 #: The rules that the pages query fixes.
