@@ -98,11 +98,6 @@ def column_to_letters(number: Column) -> Column:
     )
 
 
-def split_sentence(cells: Column) -> Column:
-    """Do a row's cells look like one sentence cut in pieces? (T14, the length and ending patterns)."""
-    return (F.size(cells) >= 2) & F.exists(cells, lambda c: (F.length(c) > 20) & c.rlike(r"[a-z,]$"))
-
-
 def text_width(text: Column, size: Column) -> Column:
     """The estimated width of a text: CJK characters 0.9, others 0.45 of the font size."""
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0.0), lambda w, c: w + size * F.when(F.ascii(c) > 0x2E7F, 0.9).otherwise(0.45))
