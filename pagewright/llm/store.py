@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's own switch by which the shuffle files of a statement go when it ends; nothing reads those of a written table again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset, as in local tests, a folder of this process."""
     context = spark.sparkContext
@@ -25,8 +29,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written to the shared folder and read back: a lost executor loses none of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagewright/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()  # Spark deletes the shuffle files of what is written now once the driver has let go of its plan
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     found = spark.read.schema(df.schema).parquet(path)
     found._pagewright_path = path
     return found
