@@ -18,6 +18,7 @@ import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -108,8 +109,8 @@ def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return bw.unpack(row["words"], delta=True)[bw.unpack(row["back"])], n_words, folds, lost
 
 
-def _sent(parts: int, order: int):
-    """Each block's distinct n-grams with their counts in both training folds, by range of hashes."""
+def _sent(parts: int, kind: int):
+    """Each block's distinct n-grams of order ``kind`` + 1 with their counts in both training folds, by range of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = _edges(parts)
@@ -118,12 +119,11 @@ def _sent(parts: int, order: int):
                 row = batch.slice(i, 1).to_pylist()[0]
                 tokens, n_words, folds, _ = _opened(row)
                 fold = np.repeat(folds, n_words + 1)
-                for kind, grams in enumerate(_grams(tokens, n_words, order)):
-                    values, back = np.unique(grams, return_inverse=True)
-                    counts = [np.bincount(back[fold == f], minlength=len(values)).astype(np.uint32) for f in (TRAIN, DELETED)]
-                    cuts = [0, *np.searchsorted(values, edges).tolist(), len(values)]
-                    rows = [(row["block"], kind, part, bw.pack(values[a:b], delta=True), bw.pack(counts[0][a:b]), bw.pack(counts[1][a:b])) for part, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-                    yield _batch(rows, _PART_SQL)
+                values, back = np.unique(_grams(tokens, n_words, kind + 1)[kind], return_inverse=True)
+                counts = [np.bincount(back[fold == f], minlength=len(values)).astype(np.uint32) for f in (TRAIN, DELETED)]
+                cuts = [0, *np.searchsorted(values, edges).tolist(), len(values)]
+                rows = [(row["block"], kind, part, bw.pack(values[a:b], delta=True), bw.pack(counts[0][a:b]), bw.pack(counts[1][a:b])) for part, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                yield _batch(rows, _PART_SQL)
 
     return run
 
@@ -324,8 +324,10 @@ def score(df: DataFrame, fold: str = "fold", column: str = "text", order: int =
     docs = df.select(F.col("doc_id").cast("bigint"), F.col(f"`{column}`"), F.col(fold).cast("int").alias("fold"))
     blocks = stored(docs.mapInArrow(_blocks, _BLOCK_SQL), "blocks")
     tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
-    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-order * tokens // PART_TOKENS))
-    totals = stored(blocks.mapInArrow(_sent(parts, order), _PART_SQL).repartition(parts, "part").mapInArrow(_totals, _PART_SQL), "totals")
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART_TOKENS))
+    # An order at a time, so that the parts of one alone are on disk.
+    counted = [stored(blocks.mapInArrow(_sent(parts, k), _PART_SQL).repartition(parts, "part").mapInArrow(_totals, _PART_SQL), "totals") for k in range(order)]
+    totals = reduce(DataFrame.unionAll, counted)
     figures = [np.frombuffer(r["ids"], np.int64) for r in totals.where("kind = 99").select("ids").collect()]
     trained, deleted, v_train, v = map(int, np.sum(figures, axis=0)) if figures else (0, 0, 0, 0)
     null = F.lit(None).cast("binary")
@@ -333,7 +335,7 @@ def score(df: DataFrame, fold: str = "fold", column: str = "text", order: int =
     answers = totals.where("kind < 99").select("block", "kind", "part", "ids", "a", "b", *[null.alias(c) for c in ("shape", "words", "back")])
     joined = own.unionByName(answers).groupBy("block").applyInArrow(_joined(order), ", ".join(f"{k} binary" for k in _names(order)))
     joined = stored(joined, "joined")
-    dropped(blocks, totals)
+    dropped(blocks, *counted)
     names = [f"p{i}" for i in range(1, order + 1)]
     sums = [f"s{i}" for i in range(1, order + 1)]
     events = joined.mapInArrow(_each(_events(trained, order)), ", ".join(["k int", *[f"{p} int" for p in names], "n bigint", *[f"{x} double" for x in sums]]))
