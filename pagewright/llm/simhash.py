@@ -6,8 +6,8 @@ principle).  With 16 segments and 4 bits the first three of a chain agree and th
 most, so one half of segments four to seven agrees as well: 20 agreeing bits make a join key, and the budgets of longer
 chains prune pairs before the full Hamming distance.
 
-Equal fingerprints are one node.  The nodes of keys that gather over ``MOST_IN_GROUP`` are linked through the values
-within half the distance instead, so no task takes an unbounded group and no link is lost.  Within the other groups, pairs of nodes already joined are skipped and only joining links leave the task.  Components come from
+Equal fingerprints are one node.  Nodes of a key that gathers over ``MOST_IN_GROUP`` are dealt on by longer keys: of
+tau + 1 segments of the bits that are left one must agree, so no task takes an unbounded group and no link is lost.  Within groups, pairs of nodes already joined are skipped and only joining links leave the task.  Components come from
 alternating star contraction over those links.
 
 Pigeonring keys select little beyond a few bits (at 8 of 64, 8 agreeing bits; at 16, none), and texts of a five-word
@@ -18,9 +18,9 @@ candidates are nodes that share ``ROWS`` minima of random hashes in one of ``BAN
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pagewright.llm.store import dropped, small, stored
 SEED = 42
 RING = 16
 WIDTH = 64 // RING
-MOST_IN_GROUP = 32_768
+MOST_IN_GROUP = 8_192
 BANDS, ROWS = 14, 4
 #: For 64-bit fingerprints of shingle sets with a similarity of 0.8: some five standard deviations over the mean.
 SIMILAR_TAU = 24
@@ -147,35 +147,35 @@ def _joining(fp: np.ndarray, group: np.ndarray, mask: np.ndarray, chains: dict,
     return np.array(links, np.int64).reshape(-1, 2)
 
 
-def _crowded(nodes: DataFrame, tau: int) -> DataFrame:
-    """Links of nodes from crowded keys, linear in their number.
-
-    Two fingerprints differ in at most tau bits (even) exactly if some value lies within tau / 2 bits of both, so each
-    value links all its neighbours to the least of them.
-    """
-    flips = [0] + [sum(1 << b for b in bits) for r in range(1, tau // 2 + 1) for bits in combinations(range(64), r)]
-    flip = F.explode(F.from_json(F.lit(json.dumps([_signed(f) for f in flips])), "array<bigint>")).alias("flip")
-    values = nodes.select("node", "fp", flip).select("node", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"))
-    least = values.groupBy("value").agg(F.min("node").alias("b"))
-    return values.join(least, "value").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+def longer_masks(mask: int, tau: int) -> list[int]:
+    """Masks of longer keys: two values that agree under ``mask`` and differ in at most ``tau`` bits agree under one of them."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    if len(free) <= tau:
+        return []
+    cuts = [len(free) * i // (tau + 1) for i in range(tau + 2)]
+    return [mask | sum(1 << b for b in free[a:z]) for a, z in zip(cuts, cuts[1:])]
 
 
 def links(nodes: DataFrame, tau: int = 4, most: int = MOST_IN_GROUP) -> DataFrame:
-    """(a, b) node pairs within ``tau`` bits (even) that connect all that such pairs connect.
+    """(a, b) node pairs within ``tau`` bits that connect all that such pairs connect.
 
-    ``nodes`` has node and fp, both distinct.
+    ``nodes`` has node and fp, both distinct.  Keys of over ``most`` nodes are dealt on by longer keys, again and again.
     """
-    if tau % 2:
-        raise ValueError("tau must be even")
     chains = chain_masks(tau)
     masks = F.array(*[F.lit(_signed(m)) for m in chains])
-    keyed = nodes.select("node", "fp", F.explode(masks).alias("mask")).withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
-    crowds = stored(keyed.groupBy("mask", "part").count().where(F.col("count") > most).drop("count"), "crowds")
-    if not crowds.isEmpty():
-        inside = stored(keyed.join(crowds, ["mask", "part"], "left_semi").select("node", "fp").distinct(), "crowded")
-        rest = _pairs(keyed.join(crowds, ["mask", "part"], "left_anti"), chains, tau)
-        return rest.union(_crowded(inside, tau)).distinct()
-    return _pairs(keyed, chains, tau)
+    level = nodes.select("node", "fp", F.explode(masks).alias("mask")).withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
+    found = []
+    while True:
+        crowds = stored(level.groupBy("mask", "part").count().where(F.col("count") > most).drop("count"), "crowds")
+        longer = [(_signed(m), _signed(x)) for r in crowds.select("mask").distinct().collect() for m in (r["mask"] & (1 << 64) - 1,) for x in longer_masks(m, tau)]  # a few a mask
+        if not longer:
+            return reduce(DataFrame.unionAll, [*found, _pairs(level, chains, tau)]).distinct()
+        split = F.broadcast(nodes.sparkSession.createDataFrame(longer, "mask bigint, longer bigint"))
+        ended = F.broadcast(nodes.sparkSession.createDataFrame([(m,) for m in sorted({m for m, _ in longer})], "mask bigint"))
+        crowds = crowds.join(ended, "mask", "left_semi")
+        found.append(_pairs(level.join(crowds, ["mask", "part"], "left_anti"), chains, tau))
+        inside = level.join(crowds, ["mask", "part"], "left_semi").join(split, "mask")
+        level = stored(inside.select("node", "fp", F.col("longer").alias("mask"), F.col("fp").bitwiseAND(F.col("longer")).alias("part")).distinct(), "crowded")
 
 
 def _pairs(keyed: DataFrame, known: dict, tau: int) -> DataFrame:

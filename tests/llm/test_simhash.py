@@ -92,3 +92,15 @@ def test_documents(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     shown = simhash.near_duplicates(docs).select(simhash.hexed().alias("h")).where(F.length("h") != 16)
     assert shown.count() == 0
+
+
+def test_longer_masks_lose_no_pair():
+    rng = random.Random(9)
+    for _ in range(300):
+        mask = rng.getrandbits(64)
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample([k for k in range(64) if not mask >> k & 1], rng.randint(0, 4)):
+            b ^= 1 << bit
+        assert any(a & m == b & m for m in simhash.longer_masks(mask, 4))
+    assert simhash.longer_masks((1 << 64) - 4, 4) == []
