@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import bytewise as bw
-from pagewright.llm.store import dropped, stored
+from pagewright.llm.store import stored
 
 TRAIN, DELETED, OTHER = 0, 1, 2
 BLOCK_TOKENS = 800_000
@@ -184,58 +184,30 @@ def _shape(packed: bytes) -> list[np.ndarray]:
     return out
 
 
-def _joined(order: int):
-    """One row from a block and its totals: its shape, and for each order and fold the total of each token's n-gram."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        own = next(r for r in rows if r["kind"] < 0)
-        tokens, n_words, _, _ = _opened(own)
-        made = [own["ids"], own["shape"]]
-        answers = sorted((r for r in rows if r["kind"] >= 0), key=lambda r: (r["kind"], r["part"]))
-        for kind, grams in enumerate(_grams(tokens, n_words, order)):
-            back = np.unique(grams, return_inverse=True)[1]
-            for f in ("a", "b"):
-                made.append(bw.pack(_narrow(np.concatenate([bw.unpack(r[f]).astype(np.uint64) for r in answers if r["kind"] == kind])[back])))
-        return pa.table({k: pa.array([v], pa.binary()) for k, v in zip(_names(order), made, strict=True)})
-
-    return run
-
-
-def _names(order: int) -> list[str]:
-    return ["ids", "shape", *[f"{f}{k}" for k in range(order) for f in "ab"]]
-
-
-def _restored(row: dict, order: int):
-    """Ids, folds, words a text, and for both folds the totals of each token's n-grams and of their contexts."""
-    n_words, folds, lost = _shape(row["shape"])
-    ids = [None if x else int(i) for i, x in zip(bw.unpack(row["ids"]), lost, strict=True)]
+def _restored(table: pa.Table, order: int):
+    """From a block and its totals: ids, folds, words a text, ends, and for both folds the totals of each token's n-grams and of their contexts."""
+    rows = table.to_pylist()
+    own = next(r for r in rows if r["kind"] < 0)
+    tokens, n_words, folds, lost = _opened(own)
+    ids = [None if x else int(i) for i, x in zip(bw.unpack(own["ids"]), lost, strict=True)]
     ends = np.cumsum(n_words + 1) - 1
-    first = ends - n_words
-    grams, contexts = [], []
-    for f in "ab":
-        totals = [bw.unpack(row[f"{f}{k}"]).astype(np.int64) for k in range(order)]
+    answers = sorted((r for r in rows if r["kind"] >= 0), key=lambda r: (r["kind"], r["part"]))
+    grams: list[list] = [[], []]
+    for kind, values in enumerate(_grams(tokens, n_words, order)):
+        back = np.unique(values, return_inverse=True)[1]
+        for totals, f in zip(grams, ("a", "b"), strict=True):
+            totals.append(np.concatenate([np.zeros(0, np.int64), *[bw.unpack(r[f]).astype(np.int64) for r in answers if r["kind"] == kind]])[back])
+    contexts = []
+    for totals in grams:
         own = []
         for k in range(1, order):  # an n-gram's context is the shorter one before; every training text has one beginning, as it has one end
             before = np.roll(totals[k - 1], 1)
-            before[first] = totals[0][ends]
+            before[ends - n_words] = totals[0][ends]
             own.append(before)
-        grams.append(totals)
         contexts.append(own)
     return ids, folds, n_words, ends, grams, contexts
 
 
-def _each(work):
-    """A map over joined blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield from work(batch.slice(i, 1).to_pylist()[0]).to_batches()
-
-    return run
-
-
 def _shares(grams: list[np.ndarray], contexts: list[np.ndarray], n: int) -> list[np.ndarray]:
     """Maximum-likelihood estimates, the longest n-gram's first."""
     return [g / np.maximum(c, 1) for g, c in zip(grams[:0:-1], contexts[::-1], strict=True)] + [grams[0] / max(n, 1)]
@@ -256,8 +228,8 @@ def _context_buckets(grams: list[np.ndarray], contexts: list[np.ndarray]) -> np.
 
 
 def _events(train_tokens: int, order: int):
-    def run(row: dict) -> pa.Table:
-        _, folds, n_words, _, grams, contexts = _restored(row, order)
+    def run(table: pa.Table) -> pa.Table:
+        _, folds, n_words, _, grams, contexts = _restored(table, order)
         held = np.repeat(folds, n_words + 1) == DELETED
         own, before = [g[held] for g in grams[0]], [c[held] for c in contexts[0]]
         shares = _shares(own, before, train_tokens)
@@ -265,7 +237,7 @@ def _events(train_tokens: int, order: int):
         found, back, counts = np.unique(keys, axis=0, return_inverse=True, return_counts=True) if len(keys) else (np.zeros((0, order + 1), int), np.zeros(0, int), np.zeros(0, int))
         made = {"k": found[:, 0].astype(np.int32)} | {f"p{i}": found[:, i].astype(np.int32) for i in range(1, order + 1)} | {"n": counts.astype(np.int64)}
         for i, p in enumerate(shares, 1):
-            made[f"s{i}"] = np.bincount(back.reshape(-1), weights=np.log2(np.where(p > 0, p, 1)), minlength=len(found))
+            made[f"s{i}"] = np.bincount(back.reshape(-1), weights=np.log2(np.where(p > 0, p, 1)), minlength=len(found)).astype(np.float64)
         return pa.table(made)
 
     return run
@@ -296,8 +268,8 @@ def maximise(events: list[tuple], uniform: float, order: int = 2, rounds: int =
 
 
 def _scores(model: Model, order: int):
-    def run(row: dict) -> pa.Table:
-        ids, _, n_words, ends, grams, contexts = _restored(row, order)
+    def run(table: pa.Table) -> pa.Table:
+        ids, _, n_words, ends, grams, contexts = _restored(table, order)
         whole, before = [a + b for a, b in zip(*grams, strict=True)], [a + b for a, b in zip(*contexts, strict=True)]
         n, v, word = model.train_tokens, model.vocabulary, whole[0]
         offsets = np.concatenate([[0], ends + 1])
@@ -333,12 +305,10 @@ def score(df: DataFrame, fold: str = "fold", column: str = "text", order: int =
     null = F.lit(None).cast("binary")
     own = blocks.select("block", F.lit(-1).alias("kind"), F.lit(-1).alias("part"), "ids", null.alias("a"), null.alias("b"), "shape", "words", "back")
     answers = totals.where("kind < 99").select("block", "kind", "part", "ids", "a", "b", *[null.alias(c) for c in ("shape", "words", "back")])
-    joined = own.unionByName(answers).groupBy("block").applyInArrow(_joined(order), ", ".join(f"{k} binary" for k in _names(order)))
-    joined = stored(joined, "joined")
-    dropped(blocks, *counted)
-    names = [f"p{i}" for i in range(1, order + 1)]
-    sums = [f"s{i}" for i in range(1, order + 1)]
-    events = joined.mapInArrow(_each(_events(trained, order)), ", ".join(["k int", *[f"{p} int" for p in names], "n bigint", *[f"{x} double" for x in sums]]))
-    events = events.groupBy("k", *names).agg(*[F.sum(c).alias(c) for c in ("n", *sums)]).collect()  # at most one row a bin
+    # Joined twice, for the events and for the scores: that is cheaper than keeping the totals of every token on disk.
+    joined = own.unionByName(answers).groupBy("block")
+    names, sums = [f"p{i}" for i in range(1, order + 1)], [f"s{i}" for i in range(1, order + 1)]
+    events = joined.applyInArrow(_events(trained, order), ", ".join(["k int", *[f"{p} int" for p in names], "n bigint", *[f"{x} double" for x in sums]]))
+    events = stored(events.groupBy("k", *names).agg(*[F.sum(c).alias(c) for c in ("n", *sums)]), "events").collect()  # at most one row a bin
     model = Model(trained + deleted, v, maximise([tuple(r) for r in events], 1 / (v_train + 1), order))
-    return joined.mapInArrow(_each(_scores(model, order)), "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return joined.applyInArrow(_scores(model, order), "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
