@@ -29,7 +29,7 @@ from pagewright.llm import bytewise as bw
 from pagewright.llm.store import stored
 
 TRAIN, DELETED, OTHER = 0, 1, 2
-BLOCK_TOKENS = 800_000
+BLOCK_TOKENS = 400_000
 #: Tokens for which a range of hashes is kept apart, so a range does not grow with the input.
 PART_TOKENS = 4_000_000
 END, BEGIN, PAIR = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x8F1BBCDCBFA53E0B), np.uint64(0xD1B54A32D192ED03)
