@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pagewright.llm.store import stored
 
 BLOCK_DOCS = 16
-#: Each source's documents are ranked in so many parts, so that no task ranks a whole source.
-PARTS = 1024
+#: Each source's documents are ranked in so many parts at least, and parts of about so many documents at most, so that no task ranks a whole source.
+PARTS, PART_DOCS = 1024, 1 << 20
 _PLAN = "array<struct<__s__ string, __phases__ array<struct<first bigint, slot bigint, k int, w int, at array<int>>>>>"
 
 
@@ -65,7 +65,7 @@ def root_weights(counts: dict[str, int], power: float = 0.5, scale: int = 1000)
     return {s: max(1, round(scale * n**power / total)) for s, n in counts.items()}
 
 
-def mix(df: DataFrame, weights: Callable[[dict[str, int]], dict[str, int]] = root_weights, block_docs: int = BLOCK_DOCS, parts: int = PARTS) -> DataFrame:
+def mix(df: DataFrame, weights: Callable[[dict[str, int]], dict[str, int]] = root_weights, block_docs: int = BLOCK_DOCS, parts: int | None = None) -> DataFrame:
     """Adds ``block`` (of its source), ``slot`` and ``position``, by which rows are to be ordered.
 
     ``weights`` maps the sources' document counts to integer weights; the counts, one row a source, are all that
@@ -74,6 +74,7 @@ def mix(df: DataFrame, weights: Callable[[dict[str, int]], dict[str, int]] = roo
     an empty one.  Input columns with the names of added ones are replaced.
     """
     df = df.drop("block", "slot", "position")
+    parts = max(PARTS, -(-df.count() // PART_DOCS)) if parts is None else parts
     named = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     keyed = df.withColumn("__s__", named).withColumn("__part__", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
     counts = stored(keyed.groupBy("__s__", "__part__").agg(F.count("*").alias("__n__")), "part-counts")
