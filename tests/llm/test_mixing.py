@@ -47,3 +47,35 @@ def test_rows(spark):
         assert r.position // 4 == r.slot
     assert mixing.mix(docs.limit(0)).count() == 0
     assert [r.position for r in mixing.ordered(mixing.mix(docs)).collect()] == sorted(r.position for r in mixing.mix(docs).collect())
+
+
+def simulated(blocks, weights):
+    """Slots of a mixture, one after the other: the released block that is due first, ties by source."""
+    left, order, start = dict(blocks), [], 0
+    done = {s: 0 for s in blocks}
+    while any(left.values()):
+        own = {s: weights[s] for s, n in left.items() if n}
+        total, base, slot = sum(own.values()), {s: done[s] for s in own}, 0
+        while all(left[s] for s in own):
+            due = [(-(-(done[s] - base[s] + 1) * total // k), s) for s, k in own.items() if (done[s] - base[s]) * total // k <= slot]
+            s = min(due)[1]
+            order.append((s, done[s]))
+            done[s] += 1
+            left[s] -= 1
+            slot += 1
+        start += slot
+    return order
+
+
+def test_plans_against_a_simulation_slot_by_slot():
+    rng = random.Random(5)
+    for _ in range(60):
+        blocks = {f"s{i}": rng.randint(1, 25) for i in range(rng.randint(1, 6))}
+        weights = {s: rng.randint(1, 9) for s in blocks}
+        phases, got = mixing.plan(blocks, weights), {}
+        for s, n in blocks.items():
+            for b in range(n):
+                p = [x for x in phases[s] if x["first"] <= b][-1]
+                j = b - p["first"]
+                got[p["slot"] + j // p["k"] * p["w"] + p["at"][j % p["k"]]] = (s, b)
+        assert [got[i] for i in range(sum(blocks.values()))] == simulated(blocks, weights)
