@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.sources.decoding import decoded
@@ -271,6 +271,19 @@ def sheet_cells(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'cell'").select("doc_id", "part", "row", "col", "text")
 
 
+def sheet(rows: DataFrame, which: str | int) -> DataFrame:
+    """The cells of one sheet of each workbook, by name or by place from 0."""
+    if isinstance(which, int):
+        return sheet_cells(rows).where(F.col("part") == which)
+    named = F.max(F.when((F.col("kind") == "sheet") & (F.col("text") == which), F.col("part"))).over(Window.partitionBy("doc_id"))
+    return sheet_cells(rows.withColumn("wanted", named).where("part = wanted"))
+
+
+def cell(rows: DataFrame, which: str | int, row: int, col: int) -> DataFrame:
+    """(doc_id, text) of one cell of a sheet, rows and columns from 1; missing cells give no row."""
+    return sheet(rows, which).where((F.col("row") == row) & (F.col("col") == col)).select("doc_id", "text")
+
+
 def paragraphs(rows: DataFrame) -> DataFrame:
     """(doc_id, seq, text, heading_level) of paragraphs (X6); repeats within a hwpx document are left out."""
     own = rows.where("kind = 'paragraph'")
