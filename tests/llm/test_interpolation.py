@@ -2,7 +2,6 @@ import math
 import random
 from collections import Counter
 
-import numpy as np
 import pytest
 
 from pagewright.llm import interpolation as di
