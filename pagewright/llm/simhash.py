@@ -10,10 +10,11 @@ Equal fingerprints are one node.  Nodes of a key that gathers over ``MOST_IN_GRO
 tau + 1 segments of the bits that are left one must agree, so no task takes an unbounded group and no link is lost.  Within groups, pairs of nodes already joined are skipped and only joining links leave the task.  Components come from
 alternating star contraction over those links.
 
-Pigeonring keys select little beyond a few bits (at 8 of 64, 8 agreeing bits; at 16, none), and texts of a five-word
-Jaccard similarity of 0.8 differ in about 10.  With a ``similarity``, texts of one shingle set are one node, the
-candidates are nodes that share ``ROWS`` minima of random hashes in one of ``BANDS`` bands (at 0.8 all but about 1 of
-1,600 pairs do), a Hamming distance over tau rules out, and only an exact similarity of the shingle sets links.
+Texts of a five-word Jaccard similarity of 0.8 differ in about 10 of 64 bits, where lossless keys select little.  With a
+``similarity``, texts of one shingle set are one node with a SimHash of ``WIDE`` bits in a ring: the signs of random
+hyperplanes, taken through two rounds of random signs and Hadamard transforms.  A key is a segment that agrees, so many
+segments that all but 1 of 10,000 pairs at exactly that similarity share one; the longer chain, ``CHAIN`` further bits of
+the ring, has a budget of differing bits, and only an exact similarity of the shingle sets links.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import accumulate
+from math import acos, ceil, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,13 @@ SEED = 42
 RING = 16
 WIDTH = 64 // RING
 MOST_IN_GROUP = 8_192
-BANDS, ROWS = 14, 4
+WIDE, CHAIN = 4096, 128
+#: Of the pairs at exactly the similarity asked for, the share that may have no segment in common.
+MISSED = 1e-4
 #: For 64-bit fingerprints of shingle sets with a similarity of 0.8: some five standard deviations over the mean.
 SIMILAR_TAU = 24
-_TIMES, _FLIPS = (np.random.default_rng(SEED).integers(1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_SIGNS = np.random.default_rng(SEED).choice(np.array([-1, 1], np.float32), (2, WIDE))
+_HADAMARD = reduce(np.kron, [np.array([[1, 1], [1, -1]], np.float32)] * 6) / 8
 SOLVE_BYTES = 64 << 20
 
 
@@ -243,32 +248,125 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(_hashes(text, shingle).astype(np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """The keys, one a band, of a shingle set's minima; none of an empty set."""
-    if not len(hashes):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        least = np.minimum(least, ((hashes[at : at + 1024, None] ^ _FLIPS) * _TIMES).min(0))
-    return [_signed(xxhash.xxh64_intdigest(band.tobytes(), k)) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+def wide_prints(sets: list[np.ndarray]) -> np.ndarray:
+    """The SimHashes of ``WIDE`` bits of some shingle sets, as rows of bytes."""
+    sums = np.empty((len(sets), WIDE), np.float32)
+    for i, hashes in enumerate(sets):
+        sign = 1.0 - 2.0 * (hashes >> np.uint64(63)).astype(np.float64)
+        sums[i] = np.bincount((hashes % np.uint64(WIDE)).astype(np.int64), sign, WIDE)
+    for signs in _SIGNS:  # the Hadamard matrix of WIDE rows is the product of two of 64
+        sums = (_HADAMARD @ (sums * signs).reshape(-1, 64, 64) @ _HADAMARD).reshape(-1, WIDE)
+    return np.packbits(sums > 0, axis=1)
 
 
 def _sketches(df: DataFrame, column: str, shingle: int) -> DataFrame:
-    """doc_id, ``whole`` (the hash of the shingle set), ``fp`` of the set and its band keys."""
+    """doc_id, ``whole`` (the hash of the shingle set), ``print`` of the set, null of an empty one, and ``fp``, its first 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, prints, keys = [], [], []
-            for text in batch.column(1):
-                own = shingle_set(text.as_py(), shingle)
-                whole.append(_signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)))
-                prints.append(_signed(_majority(own.astype(">u8"))))
-                keys.append(band_keys(own))
-            columns = [batch.column(0), pa.array(whole, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "whole", "fp", "keys"])
+            for at in range(0, batch.num_rows, 256):
+                sets = [shingle_set(t.as_py(), shingle) for t in batch.column(1)[at : at + 256]]
+                whole = [_signed(xxhash.xxh64_intdigest(x, SEED)) for x in sets]
+                prints = wide_prints(sets)
+                fp = np.ascontiguousarray(prints[:, :8]).view(np.int64)[:, 0]
+                own = [p.tobytes() if len(x) else None for p, x in zip(prints, sets, strict=True)]
+                columns = [batch.column(0)[at : at + 256], pa.array(whole, pa.int64()), pa.array(fp), pa.array(own, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "whole", "fp", "print"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", F.col(f"`{column}`")).mapInArrow(run, f"doc_id {kind}, whole bigint, fp bigint, keys array<bigint>")
+    return df.select("doc_id", F.col(f"`{column}`")).mapInArrow(run, f"doc_id {kind}, whole bigint, fp bigint, print binary")
+
+
+def segments(count: int, similarity: float) -> tuple[int, int, int]:
+    """For so many nodes: bits of a segment, how many segments are keys, and the most differing bits of the chain behind."""
+    apart = acos(min(1.0, 2 * similarity / (1 + similarity))) / pi  # of sets of equal size; others differ less
+    bits = min(24, max(8, count.bit_length() - 6))  # some 50 unrelated nodes a key, whatever their number
+    keys = ceil(log(MISSED) / log(1 - min((1 - apart) ** bits, 0.9)))
+    return bits, keys, ceil(CHAIN * apart + 5 * sqrt(CHAIN * apart * (1 - apart)))
+
+
+def ring_keys(prints: np.ndarray, bits: int, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of some prints (rows of bytes), a row each, and the chains behind as two words."""
+    ring = np.unpackbits(prints, axis=1)
+    ring = np.concatenate([ring, ring[:, : bits + CHAIN]], axis=1)
+    power = 1 << np.arange(bits, dtype=np.int64)
+    found, chains = np.empty((len(prints), keys), np.int64), np.empty((len(prints), keys, CHAIN // 64), np.uint64)
+    for k in range(keys):
+        at = k * WIDE // keys
+        found[:, k] = ring[:, at : at + bits] @ power + (k << 32)
+        chains[:, k] = np.packbits(ring[:, at + bits : at + bits + CHAIN], axis=1).view(np.uint64)
+    return found, chains
+
+
+def _near(chains: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
+    """The first row that each row reaches in its group by chains that differ in ``most`` bits or less; rows are sorted by group."""
+    end = np.searchsorted(group, group, side="right")
+    roots, rows, step = np.arange(len(group)), np.arange(len(group)), 1
+
+    def find(i: int) -> int:
+        while roots[i] != i:
+            roots[i] = roots[roots[i]]
+            i = roots[i]
+        return i
+
+    while len(rows := rows[rows + step < end[rows]]):
+        apart = rows[roots[rows] != roots[rows + step]]
+        apart = apart[np.bitwise_count(chains[apart] ^ chains[apart + step]).sum(1) <= most]
+        for i in apart:
+            a, b = find(i), find(i + step)
+            roots[max(a, b)] = min(a, b)
+        while len(apart):
+            up = roots[roots]
+            if (up == roots).all():
+                break
+            roots[:] = up
+        step += 1
+    return roots
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], most: int, size) -> Iterator[pa.Table]:
+    """Runs of rows of about ``most`` by ``size`` of a batch; rows that share a key stay together."""
+    held: list[pa.RecordBatch] = []
+    so_far = 0
+    for batch in batches:
+        held.append(batch)
+        so_far += size(batch)
+        if so_far >= most:  # groups may run on: keep the last one
+            whole = pa.Table.from_batches(held)
+            key = whole["key"].to_numpy()
+            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+            if len(cut):
+                yield whole.slice(0, cut[-1])
+                held = whole.slice(cut[-1]).to_batches()
+                so_far = sum(size(b) for b in held)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def close_groups(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(key, node): groups of nodes that share a segment and whose chains link them; ``nodes`` has node and print."""
+    bits, keys, most = segments(nodes.count(), similarity)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                node = batch.column(0)[at : at + 1000].to_numpy()
+                prints = np.frombuffer(b"".join(batch.column(1)[at : at + 1000].to_pylist()), np.uint8).reshape(-1, WIDE // 8)
+                found, chains = ring_keys(prints, bits, keys)
+                columns = [found.reshape(-1), np.repeat(node, keys), *chains.view(np.int64).reshape(-1, CHAIN // 64).T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "node", "one", "two"])
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches, 250_000, lambda b: b.num_rows):
+            key, node, one, two = (rows[c].to_numpy() for c in ("key", "node", "one", "two"))
+            group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+            roots = _near(np.stack([one, two], 1).view(np.uint64), group, most)
+            some = np.flatnonzero(np.bincount(roots, minlength=len(roots))[roots] > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(node[roots[some]]), pa.array(node[some])], names=["key", "root", "node"])
+
+    rows = nodes.select(F.col("node").cast("bigint"), "print").mapInArrow(keyed, "key bigint, node bigint, one bigint, two bigint")
+    found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(grouped, "key bigint, root bigint, node bigint")
+    return found.select(F.xxhash64("key", "root").alias("key"), "node")
 
 
 def _sets(df: DataFrame, shingle: int) -> DataFrame:
@@ -310,46 +408,28 @@ def _similar(fp: np.ndarray, sets: list[np.ndarray], tau: int, similarity: float
 
 
 def _similar_links(nodes: DataFrame, df: DataFrame, tau: int, shingle: int, similarity: float) -> DataFrame:
-    """(a, b) node pairs of at least ``similarity``; ``nodes`` has node, whole, fp and keys, ``df`` doc_id and text."""
-    keyed = nodes.select("node", "whole", "fp", F.explode("keys").alias("key"))
+    """(a, b) node pairs of at least ``similarity``; ``nodes`` has node, whole, fp and print, ``df`` doc_id and text."""
+    keyed = stored(close_groups(nodes.where("print is not null"), similarity), "close")
     one, two = F.xxhash64("node"), F.xxhash64(F.lit(1), "node")
-    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y")).where("n > 1")
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y"))
     groups = groups.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")  # of groups with the same members, one
     members = stored(keyed.join(groups, "key", "left_semi"), "members")
-    wanted = stored(members.select("node", "whole").distinct(), "candidates")
-    side = F.broadcast(wanted) if small(wanted, 32) else wanted
+    wanted = stored(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "whole", "fp"), "candidates")
+    side = F.broadcast(wanted) if small(wanted, 48) else wanted
     texts = df.join(side.select("node"), F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "text")
-    sets = _sets(texts, shingle).join(side.select("whole"), "whole", "left_semi").dropDuplicates(["whole"])
-    rows = members.join(stored(sets, "shingle-sets"), "whole").select("key", "node", "fp", "hashes")
+    sets = stored(_sets(texts, shingle).join(side, "whole").dropDuplicates(["whole"]), "shingle-sets")
+    rows = members.join(sets, "node").select("key", "node", "fp", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= SOLVE_BYTES:  # groups may run on: keep the last one
-                yield from solve(held, False)
-                size = sum(b.nbytes for b in held)
-        yield from solve(held, True)
-
-    def solve(held: list[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        whole = pa.Table.from_batches(held)
-        held.clear()
-        key, node, fp = (whole[c].to_numpy() for c in ("key", "node", "fp"))
-        cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]
-        if last:
-            cut.append(len(key))
-        else:
-            held.extend(whole.slice(cut[-1]).to_batches())
-        for a, b in zip(cut, cut[1:]):
-            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in whole["hashes"].slice(a, b - a)]
-            found = _similar(fp[a:b].view(np.uint64), own, tau, similarity)
-            if found:
-                pairs = node[a:b][np.array(found)]
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        for rows in _whole_groups(batches, SOLVE_BYTES, lambda b: b.nbytes):
+            key, node, fp = (rows[c].to_numpy() for c in ("key", "node", "fp"))
+            cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for a, b in zip(cut, cut[1:]):
+                own = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["hashes"].slice(a, b - a)]
+                found = _similar(fp[a:b].view(np.uint64), own, tau, similarity)
+                if found:
+                    pairs = node[a:b][np.array(found)]
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -366,7 +446,7 @@ def near_duplicates(df: DataFrame, column: str = "text", tau: int = 4, shingle:
     if similarity is not None:
         docs = df.select("doc_id", F.col(f"`{column}`").alias("text"))
         prints = stored(_sketches(docs, "text", shingle), "sketches")
-        nodes = stored(prints.groupBy("whole").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+        nodes = stored(prints.groupBy("whole").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("print").alias("print")), "nodes")
         joined = components(_similar_links(nodes.where("node is not null"), docs, tau, shingle, similarity))
         roots = nodes.join(joined, "node", "left").select("whole", F.coalesce("root", "node").alias("component_id"))
         return prints.join(roots, "whole").select("doc_id", "fp", "component_id")

@@ -79,3 +79,32 @@ def test_null_ids_repeats_and_empty_tables(spark):
     assert sorted((str(r.doc_id), r.component_id) for r in found.collect() if r.component_id) == [("3", 3), ("5", 5), ("5", 5), ("7", 3), ("None", 3)]
     assert found.where("component_id is null").count() == 1
     assert simhash.near_duplicates(docs.limit(0), tau=24, shingle=5, similarity=0.8).count() == 0
+
+
+def test_similar_sets_share_a_segment_of_their_wide_prints():
+    rng = np.random.default_rng(4)
+    sets = []
+    for k in range(1200):
+        pool = rng.integers(0, 1 << 64, [5, 20, 90, 900][k % 4], dtype=np.uint64)
+        cut = len(pool) // 10
+        sets += [pool[cut:], pool[: len(pool) - max(cut, 1)]]  # at a similarity of 0.8 or a little more
+    prints = simhash.wide_prints(sets)
+    bits, keys, most = simhash.segments(200_000, 0.8)
+    found, chains = simhash.ring_keys(prints, bits, keys)
+    assert ((found[::2] == found[1::2]).any(1)).mean() > 0.998
+    pairs = np.repeat(np.arange(len(sets) // 2), 2)
+    linked = [simhash._near(np.ascontiguousarray(chains[:, k]), pairs, most)[1::2] == np.arange(0, len(sets), 2) for k in range(keys)]
+    assert (np.stack(linked, 1) & (found[::2] == found[1::2])).any(1).mean() > 0.998
+    strangers = simhash._near(np.ascontiguousarray(chains[:, 0]), np.roll(pairs, 1), most)
+    assert (strangers == np.arange(len(sets))).mean() > 0.99
+    assert 0.14 < np.unpackbits(prints[2::8] ^ prints[3::8], axis=1).mean() < 0.16
+
+
+def test_candidates_come_from_the_simhash_alone(spark, monkeypatch):
+    rows = corpus(7, 60)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    apart = np.random.default_rng(1)
+    monkeypatch.setattr(simhash, "ring_keys", lambda prints, bits, keys: (apart.integers(1 << 62, size=(len(prints), keys)), np.zeros((len(prints), keys, 2), np.uint64)))
+    found = simhash.near_duplicates(docs, tau=simhash.SIMILAR_TAU, shingle=5, similarity=0.8).collect()
+    sets = {i: frozenset(shingles(t)) for i, t in rows}
+    assert {r.doc_id: r.component_id for r in found} == {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
