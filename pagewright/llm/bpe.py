@@ -97,8 +97,8 @@ def _mapped(df: DataFrame, column: str, extra: list[T.StructField], work) -> Dat
     names = {x.name for x in extra}
     keep = [c for c in df.columns if c not in names]
     schema = T.StructType([df.schema[c] for c in keep] + extra)
-    source = "__source__"
-    df = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias(source))
+    source = column if column in keep else "__source__"  # a text that passes through is sent once
+    df = df.select(*[F.col(f"`{c}`") for c in keep], *([] if column in keep else [F.col(f"`{column}`").alias(source)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = work()

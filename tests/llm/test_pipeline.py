@@ -64,3 +64,12 @@ def test_classifier_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in quality_nn.score(odd, model).collect())
     assert quality_nn.fit(docs, labels.where("quality = 1")).constant == 1.0
     assert quality_nn.fit(docs, labels.limit(0)).constant == 0.5
+
+
+def test_texts_that_pass_through_are_sent_once(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
+    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
+    scored = quality_nn.score(docs, quality_nn.fit(docs, spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")))
+    for found in (coded, scored):
+        assert "__source__" not in found._jdf.queryExecution().analyzed().toString()
+        assert sorted((r.doc_id, r.text) for r in found.collect()) == [(1, "a b"), (2, None)]
